@@ -57,7 +57,7 @@ _LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
 _URL = re.compile(r"\[(?:https?:)?//[^\s\]]+\s*([^\]]*)\]")
 _BULLET = re.compile(r"^[ \t]*[*#:]+[ \t]*", re.MULTILINE)
 # Private-use signs: a link's label is one value, whatever signs it holds.
-_OPEN, _SHUT = "", ""
+_OPEN, _SHUT = "\ue100", "\ue101"
 
 
 def _template(m: re.Match) -> str:
