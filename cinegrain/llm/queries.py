@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from cinegrain.llm.cleaning import page_differences, text_elements
 from cinegrain.llm.components import connected_groups, is_filled
+from cinegrain.llm.matching import match_records, result_terms, title_terms
 from cinegrain.llm.tokenize import count_tokens, encode_corpus
 from cinegrain.plans.registry import Registry
-from cinegrain.session import table
+from cinegrain.session import table, written
 
 REGISTRY = Registry()
 
@@ -53,3 +54,19 @@ def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens by source and language label."""
     counts = count_tokens(table(spark, sf_dir, "documents"), ["source", "lang"])
     return counts.groupBy("source", "lang").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def matched_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = written(result_terms(table(spark, sf_dir, "search_results")), "result-terms")
+    titles = written(title_terms(table(spark, sf_dir, "titles")), "title-terms")
+    return match_records(results, titles)
+
+
+@REGISTRY.query()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matched_works(spark, sf_dir).select(F.col("d").alias("pageid"), F.col("q").alias("id"))
+
+
+@REGISTRY.query()
+def p2_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matched_works(spark, sf_dir).select(F.col("d").alias("pageid"), F.col("q").alias("id"), "score", "gap", "confidence")
