@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cinegrain.llm.cleaning import page_differences, text_elements
 from cinegrain.llm.components import connected_groups, is_filled
 from cinegrain.llm.matching import match_records, result_terms, title_terms
+from cinegrain.llm.names import same_person
 from cinegrain.llm.tokenize import count_tokens, encode_corpus
 from cinegrain.plans.registry import Registry
 from cinegrain.session import table, written
@@ -70,3 +71,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query()
 def p2_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched_works(spark, sf_dir).select(F.col("d").alias("pageid"), F.col("q").alias("id"), "score", "gap", "confidence")
+
+
+@REGISTRY.query()
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_person(table(spark, sf_dir, "cast_entries"))
