@@ -194,15 +194,15 @@ def spellings(entries: DataFrame, key: str, name: str, page: str) -> DataFrame:
     return found.select("entry", "n", "page", "name").mapInPandas(parse, "entry long, n long, page string, kind string, first string, last string")
 
 
-def same_person(entries: DataFrame, key: str = "entry_id", name: str = "name", page: str = "wikititle", more: int = 3) -> DataFrame:
+def same_person(entries: DataFrame, key: str = "entry_id", name: str = "name", page: str = "wikititle") -> DataFrame:
     """(entry_a, entry_b), entry_a < entry_b: each pair of spellings of one person, by the spellings' smallest key.
 
     Names are folded (case, marks, address, nicknames in quotation marks, respelled sounds), their parts put in order
     by which part is more often a first name over all rows, and joined at distance 1 (``radius_pairs``). Spellings
-    with one page are of one person, those with two pages never are. A name without page goes to the page its folded
-    name has, if it is one; else to the neighbour that is ``more`` times as frequent at least. Initials and short
-    forms go to the one person with that last name and first letter, if there is one only; a short form of another
-    letter to the one person with that last name.
+    with one page are of one person, those with two pages never are. Of two neighbours the rarer name joins the more
+    frequent one, unless that would bring two pages together. Groups with one last name and first letter (initials and
+    short forms among them) are one person if they have one page at most and one of them is clearly the main one; a
+    rare name of another letter joins the one person of its last name whose first name ends alike.
 
     Defined cases: null and blank names are no spellings; repeated rows count once; names of several pages link to
     none of them without one; ties of neighbours go to the more frequent, then the smaller name.
@@ -210,51 +210,55 @@ def same_person(entries: DataFrame, key: str = "entry_id", name: str = "name", p
     rows = written(spellings(entries, key, name, page), "spellings")
     # Which part is the first name: the share of its uses as first part, over distinct spellings.
     full = rows.filter("kind = 'full'")
-    uses = full.select(F.explode(F.array(F.struct(F.col("first").alias("w"), F.lit(1).alias("f")), F.struct(F.col("last").alias("w"), F.lit(0).alias("f")))).alias("u")).groupBy("u.w").agg((F.sum("u.f") / F.count("*")).alias("share"), F.count("*").alias("uses"))
-    fs = uses.select(F.col("w").alias("first"), F.col("share").alias("s1"))
-    ls = uses.select(F.col("w").alias("last"), F.col("share").alias("s2"))
-    turned = full.join(fs, "first").join(ls, "last")
+    parts = F.array(F.struct(F.col("first").alias("w"), F.lit(1).alias("f")), F.struct(F.col("last").alias("w"), F.lit(0).alias("f")))
+    uses = full.select(F.explode(parts).alias("u")).groupBy("u.w").agg((F.sum("u.f") / F.count("*")).alias("share"))
+    turned = full.join(uses.select(F.col("w").alias("first"), F.col("share").alias("s1")), "first").join(uses.select(F.col("w").alias("last"), F.col("share").alias("s2")), "last")
     turn = F.col("s2") > F.col("s1")
     full = turned.select("entry", "n", "page", "kind", F.when(turn, F.col("last")).otherwise(F.col("first")).alias("first"), F.when(turn, F.col("first")).otherwise(F.col("last")).alias("last"))
-    rows = cut(full.unionByName(rows.filter("kind <> 'full'")).withColumn("node", F.when(F.col("kind") == "full", F.concat_ws(" ", "first", "last")).otherwise(F.concat_ws("|", "kind", "first", "last"))))
+    node = F.when(F.col("kind") == "full", F.concat_ws(" ", "first", "last")).otherwise(F.concat_ws("|", "kind", "first", "last"))
+    rows = cut(full.unionByName(rows.filter("kind <> 'full'")).withColumn("node", node))
 
-    # Names: how frequent, of which pages.
-    pages = F.collect_set("page")
-    names = cut(rows.groupBy("node", "kind", "first", "last").agg(F.sum("n").alias("n"), F.slice(F.sort_array(pages), 1, 2).alias("pages")))
-    known = names.filter("kind = 'full'").select("node", "n", "pages")
+    # Names: how frequent, of which pages (two are as good as many).
+    names = cut(rows.groupBy("node", "kind", "first", "last").agg(F.sum("n").alias("n"), F.min("page").alias("page"), F.max("page").alias("other")))
+    known = names.filter("kind = 'full'").select("node", "n", "page", "other")
     near = radius_pairs(known, "node")
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left, right = known.toDF("a", "na", "pa"), known.toDF("b", "nb", "pb")
-    # A name without page of its own goes to its best neighbour; one with page keeps it.
-    better = (F.size("pa") == 0) & (F.size("pb") <= 1) & (F.col("nb") >= F.col("na") * more)
-    centre = both.join(left, "a").join(right, "b").filter(better).groupBy("a").agg(F.max_by("b", F.struct("nb", F.expr("-length(b)"), "b")).alias("b"))
-    to_page = names.filter("size(pages) = 1").select(F.concat(F.lit("n:"), "node").alias("x"), F.concat(F.lit("p:"), F.col("pages")[0]).alias("y"))
-    all_nodes = names.select(F.concat(F.lit("n:"), "node").alias("x"), F.concat(F.lit("n:"), "node").alias("y"))
-    to_centre = centre.select(F.concat(F.lit("n:"), "a").alias("x"), F.concat(F.lit("n:"), "b").alias("y"))
-    all_pages = rows.filter("page is not null").select(F.concat(F.lit("p:"), "page").alias("x"), F.concat(F.lit("p:"), "page").alias("y"))
-    groups = cut(connected_groups(to_page.unionByName(all_nodes).unionByName(to_centre).unionByName(all_pages), "x", "y"))
-
-    # Initials and short forms: the one person with that last name and first letter.
-    of_name = names.join(groups.filter("node like 'n:%'").select(F.expr("substring(node, 3)").alias("node"), "group"), "node")
-    person = of_name.groupBy("group").agg(F.sum("n").alias("total"))
-    of_name = cut(of_name.join(person, "group"))
-    letter = F.substring("first", 1, 1)
-    whole = of_name.filter("kind = 'full'")
-    # A group is a person if it has a page or its name is no loner; loners may be short forms.
-    loner = (F.size("pages") == 0) & (F.col("total") == F.col("n"))
-    persons = whole.groupBy("last", letter.alias("letter"), "group").agg(F.max("total").alias("total"), F.min(loner).alias("loner"))
-    loose = of_name.filter((F.size("pages") == 0) & ((F.col("kind") == "initial") | ((F.col("kind") == "full") & (F.col("total") == F.col("n"))))).select("node", "kind", "last", letter.alias("letter"), F.col("n").alias("own"), F.col("group").alias("own_group"))
-    fits = (F.col("group") != F.col("own_group")) & ((F.col("kind") == "initial") | (F.col("total") >= F.col("own") * more))
-    by_letter = loose.join(persons, ["last", "letter"]).filter(fits).groupBy("node", "kind").agg(F.count("*").alias("k"), F.max_by("group", "total").alias("group"), F.count_if(~F.col("loner")).alias("firm"), F.max_by("group", F.struct(~F.col("loner"), "total")).alias("firm_group"))
-    one = by_letter.filter("k = 1 or firm = 1").select("node", F.when(F.col("k") == 1, F.col("group")).otherwise(F.col("firm_group")).alias("group"))
-    of_last = persons.groupBy("last").agg(F.count("*").alias("k"), F.max_by("group", "total").alias("group"), F.max("total").alias("total"), F.count_if(~F.col("loner")).alias("firm"))
-    lost = loose.filter("kind = 'full'").join(by_letter.select("node"), "node", "left_anti").join(of_last.filter("firm = 1"), "last").filter((F.col("group") != F.col("own_group")) & (F.col("total") >= F.col("own") * more)).select("node", "group")
-    again = one.unionByName(lost).select(F.concat(F.lit("n:"), "node").alias("node"), F.col("group").alias("to"))
-    final = groups.join(again, "node", "left").select("node", F.coalesce("to", "group").alias("group"))
+    a, b = known.toDF("a", "na", "pa", "oa"), known.toDF("b", "nb", "pb", "ob")
+    single = "coalesce(pa = oa, true) and coalesce(pb = ob, true) and coalesce(pa = pb, true)"
+    rarer = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
+    centre = both.join(a, "a").join(b, "b").filter(rarer & F.expr(single)).groupBy("a", "pa").agg(F.max_by("b", F.struct("nb", "b")).alias("b"), F.max_by("pb", F.struct("nb", "b")).alias("pb"))
+    # A name without page that several neighbours of different pages would join is left to those without one.
+    brought = centre.groupBy("b").agg(F.min("pa").alias("p1"), F.max("pa").alias("p2"))
+    centre = centre.join(brought, "b").filter("pa is null or pb is not null or p1 = p2").select("a", "b")
+    mark = lambda kind, c: F.concat(F.lit(kind), c)
+    edge = lambda df, x, y: df.select(x.alias("x"), y.alias("y"))
+    named, paged = mark("n:", F.col("node")), mark("p:", F.col("page"))
+    edges = edge(names, named, F.when(F.col("page") == F.col("other"), paged).otherwise(named))
+    edges = edges.unionByName(edge(centre, mark("n:", F.col("a")), mark("n:", F.col("b")))).unionByName(edge(rows.filter("page is not null"), paged, paged))
+    groups = cut(connected_groups(edges, "x", "y"))
+
+    # Groups by last name and first letter.
+    of_name = names.withColumn("at", named).join(groups.withColumnRenamed("node", "at"), "at")
+    total = of_name.groupBy("group").agg(F.sum("n").alias("total"), F.min("page").alias("page"), F.max("other").alias("other"), F.max_by("first", F.when(F.col("kind") == "full", F.col("n"))).alias("main_first"))
+    lettered = of_name.filter("kind <> 'one'").select("group", "last", F.substring("first", 1, 1).alias("letter"), (F.col("kind") == "full").alias("is_full")).groupBy("group", "last", "letter").agg(F.max("is_full").alias("is_full")).join(total, "group")
+    fulls = F.when(F.col("is_full"), F.col("total"))
+    keys = lettered.groupBy("last", "letter").agg(
+        F.max_by("group", F.struct(fulls, F.col("group"))).alias("main"), F.max(fulls).alias("main_total"), F.sum(fulls).alias("full_total"), F.min("page").alias("p1"), F.max("other").alias("p2"), F.max_by("main_first", F.struct(fulls, F.col("group"))).alias("main_first")
+    )
+    others = F.coalesce("full_total", F.lit(0)) - F.coalesce("main_total", F.lit(0))
+    clear = F.coalesce(F.col("p1") == F.col("p2"), F.lit(True)) & F.col("main_total").isNotNull() & ((F.col("main_total") >= 2 * others) | (others <= 2))
+    keys = cut(keys.withColumn("clear", clear))
+    joined = lettered.select("group", "last", "letter").join(keys.filter("clear"), ["last", "letter"]).filter("group <> main").groupBy("group").agg(F.min("main").alias("to"), F.max("main").alias("to2")).filter("to = to2").select("group", "to")
+    # Rare names without page whose first letter no other name of that last name has.
+    rare = keys.filter("clear and p1 is null and main_total <= 2").select("last", F.col("main").alias("group"), F.col("main_first").alias("rare_first"), F.col("main_total").alias("rare_total"))
+    ends = F.substring("rare_first", -3, 3) == F.substring("main_first", -3, 3)
+    far = rare.join(keys.filter("clear").select("last", "main", "main_total", "main_first"), "last").filter((F.col("group") != F.col("main")) & ends & (F.col("main_total") > F.col("rare_total")))
+    far = far.groupBy("group").agg(F.min("main").alias("to"), F.count("*").alias("k")).filter("k = 1").select("group", "to")
+    once, twice = joined.unionByName(far), far.select(F.col("group").alias("to"), F.col("to").alias("to_far"))
+    final = groups.join(once.join(twice, "to", "left").select("group", F.coalesce("to_far", "to").alias("to")), "group", "left").select(F.col("node").alias("at"), F.coalesce("to", "group").alias("group"))
 
     # A spelling with a page belongs to the page's person, one without to its name's.
-    at = F.when(F.col("page").isNotNull(), F.concat(F.lit("p:"), "page")).otherwise(F.concat(F.lit("n:"), F.col("node")))
-    placed = rows.select("entry", at.alias("at"), "page").join(final.withColumnRenamed("node", "at"), "at").select("group", "entry", "page")
-    placed = cut(placed)
+    at = F.when(F.col("page").isNotNull(), paged).otherwise(named)
+    placed = cut(rows.select("entry", at.alias("at"), "page").join(final, "at").select("group", "entry", "page"))
     a, b = placed.toDF("group", "entry_a", "page_a"), placed.toDF("group", "entry_b", "page_b")
     return a.join(b, "group").filter("entry_a < entry_b and coalesce(page_a = page_b, true)").select("entry_a", "entry_b")
