@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from cinegrain.llm.cleaning import page_differences, text_elements
 from cinegrain.llm.components import connected_groups, is_filled
+from cinegrain.llm.languages import label_languages
 from cinegrain.llm.matching import match_records, result_terms, title_terms
+from cinegrain.llm.mixing import actual_shares, counted_once, mix_documents, mixture_plans
 from cinegrain.llm.names import same_person
 from cinegrain.llm.tokenize import count_tokens, encode_corpus
 from cinegrain.plans.registry import Registry
@@ -76,3 +78,30 @@ def p2_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query()
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_person(table(spark, sf_dir, "cast_entries"))
+
+
+def mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counted = counted_once(count_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source"]))
+    plans = mixture_plans(spark, counted, table(spark, sf_dir, "mix_targets"))
+    return mix_documents(counted, plans), plans
+
+
+@REGISTRY.query()
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(spark, sf_dir)[0]
+
+
+@REGISTRY.query()
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return actual_shares(*mixture(spark, sf_dir))
+
+
+@REGISTRY.query()
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = label_languages(table(spark, sf_dir, "documents"))
+    return found.filter("seg > 0 or label is null or label <> lang").select("doc_id", "seg", "lang")
+
+
+@REGISTRY.query()
+def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_languages(table(spark, sf_dir, "documents"))
