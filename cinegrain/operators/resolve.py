@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinegrain.session import cut
 
@@ -71,7 +72,7 @@ def issue_slugs(records: DataFrame, base: str, order: list[str]) -> DataFrame:
     root = F.regexp_replace(base, r"(?:-\d+)+$", "")
     keys = [F.col(c) for c in order]
     parts = records.withColumn("_family", root).repartition("_family").sortWithinPartitions("_family", *keys)
-    schema = parts.schema.add("slug", "string")
+    schema = T.StructType([*parts.schema.fields, T.StructField("slug", T.StringType())])
 
     def run(frames):
         family, taken, following = None, set(), {}
