@@ -123,16 +123,55 @@ class ByteGru:
         v = self.w["v"]
         return self._run(chunks, "f") @ v[:h] + self._run(chunks, "b") @ v[h:] + self.w["c"]
 
+    def _states(self, codes: np.ndarray, d: str):
+        """(step, state) in the order of a direction; states are (hidden, chunks), so that each gate is one stretch of
+        memory. The same recurrence as ``_run``, in buffers that are used again."""
+        h, (steps, m) = self.hidden, codes.shape
+        x, u = np.ascontiguousarray(self.w[f"x{d}"].T), np.ascontiguousarray(self.w[f"u{d}"].T)
+        a, g, spare = (np.empty((3 * h, m), np.float32) for _ in range(3))
+        state = np.zeros((h, m), np.float32)
+        gates, room, n, room_n = a[: 2 * h], spare[: 2 * h], a[2 * h :], spare[2 * h :]
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            np.take(x, codes[t], axis=1, out=a, mode="clip")
+            np.matmul(u, state, out=g)
+            gates += g[: 2 * h]
+            np.abs(gates, out=room)
+            room += 1
+            gates /= room
+            gates *= 0.5
+            gates += 0.5
+            np.multiply(gates[h:], g[2 * h :], out=room_n)
+            n += room_n
+            np.abs(n, out=room_n)
+            room_n += 1
+            n /= room_n
+            state -= n
+            state *= gates[:h]
+            state += n
+            yield t, state
+
     def pooled(self, chunks: np.ndarray, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """Per chunk the sum of its letters' probabilities of each language, and the number of its letters."""
-        sums, letters = np.zeros((len(chunks), len(self.languages)), np.float32), (chunks != BLANK).sum(axis=1)
+        h, n_langs = self.hidden, len(self.languages)
+        vf, vb = np.ascontiguousarray(self.w["v"][:h].T), np.ascontiguousarray(self.w["v"][h:].T)
+        c = self.w["c"][:, None]
+        sums, letters = np.zeros((len(chunks), n_langs), np.float32), (chunks != BLANK).sum(axis=1)
         for at in range(0, len(chunks), block):
-            part = chunks[at : at + block]
-            s = self.position_scores(part)
-            s -= s.max(axis=2, keepdims=True)
-            np.exp(s, out=s)
-            s *= ((part.T != BLANK) / s.sum(axis=2))[:, :, None]
-            sums[at : at + block] = s.sum(axis=0)
+            codes = np.ascontiguousarray(chunks[at : at + block].T)
+            scores = np.empty((codes.shape[0], n_langs, codes.shape[1]), np.float32)
+            for t, state in self._states(codes, "f"):
+                np.matmul(vf, state, out=scores[t])
+            total, more = np.zeros(scores.shape[1:], np.float32), np.empty(scores.shape[1:], np.float32)
+            mask = codes != BLANK
+            for t, state in self._states(codes, "b"):
+                s = scores[t]
+                s += np.matmul(vb, state, out=more)
+                s += c
+                s -= s.max(axis=0)
+                np.exp(s, out=s)
+                s *= mask[t] / s.sum(axis=0)
+                total += s
+            sums[at : at + block] = total.T
         return sums, letters
 
     def gradients(self, chunks: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
