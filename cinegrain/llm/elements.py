@@ -18,7 +18,7 @@ _PRIVATE = re.compile("[\ue100-\ue1ff]")
 _TOKEN = re.compile(f"{_A}(\\d+){_Z}")
 
 _COMMON = [
-    ("comment", r"<!--.*?(?:-->|\Z)"),
+    ("comment", r"^(?:<!--.*?-->[ \t]*)+|<!--.*?(?:-->|\Z)"),  # one at a line's start leaves no blank before the rest
     ("ref", r"<ref\b[^<>]*/\s*>|<ref\b[^<>]*>.*?(?:</ref\s*>|\Z)|<references\b[^<>]*/?>"),
     ("code", r"<(?P<tag>pre|source|syntaxhighlight)\b[^<>]*>(?P<code>.*?)</(?P=tag)\s*>"),
     ("plain", r"<nowiki\s*>(?P<plain>.*?)</nowiki\s*>|<nowiki\s*/>"),
@@ -76,7 +76,7 @@ def dialect(text: str) -> str:
     return best
 
 
-_TEMPLATE = re.compile(r"\{\{(?:[^{}]|\{(?!\{)|\}(?!\}))*\}\}")
+_TEMPLATE = re.compile(r"^\{\{(?:[^{}]|\{(?!\{)|\}(?!\}))*\}\}[ \t]*|\{\{(?:[^{}]|\{(?!\{)|\}(?!\}))*\}\}", re.MULTILINE)
 _TABLE = re.compile(r"^[ \t:]*\{\|(?:(?!^[ \t:]*\{\|).)*?(?:^[ \t]*\|\}|\Z)", re.DOTALL | re.MULTILINE)
 _HTML_TABLE = re.compile(r"<table\b(?:(?!<table\b).)*?(?:</table\s*>|\Z)", re.DOTALL | re.IGNORECASE)
 _LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
