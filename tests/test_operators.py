@@ -24,7 +24,7 @@ def value(spark, column):
         (lambda: S.runtime_text(F.lit("60–90 min")), "1h 0m – 1h 30m"), (lambda: S.runtime_text(F.lit("45")), "45 min"), (lambda: S.runtime_text(F.lit("long")), "long"), (lambda: S.initials(F.lit(" ana  b c")), "AB"),
         (lambda: S.language_bonus(F.lit("hi"), F.lit("Hindi, Tamil")), 3), (lambda: S.language_bonus(F.lit("th"), F.lit("Tamil")), -3), (lambda: S.language_bonus(F.lit(""), F.lit("Tamil")), 0),
         (lambda: S.timeline_dates(F.lit("5 March 1990 and 5 march 1990, April 2023")), ["5 March 1990", "April 2023"]), (lambda: S.sentence_chunks(F.lit("A. B one. Cc. Dd! Ee? F.R. G.")), None),
-        (lambda: S.age_of(lambda: S.fact_date(F.lit("5 March 1990")), S.fact_date(F.lit("")), F.lit("2026-03-04").cast("date")), 35), (lambda: S.doc_url(F.lit("series:x")), "/series/x/"), (lambda: S.doc_url(F.lit("q:x")), "/"),
+        (lambda: S.age_of(S.fact_date(F.lit("5 March 1990")), S.fact_date(F.lit("")), F.lit("2026-03-04").cast("date")), 35), (lambda: S.doc_url(F.lit("series:x")), "/series/x/"), (lambda: S.doc_url(F.lit("q:x")), "/"),
         (lambda: S.backoff_ms(F.lit(9)), 30000), (lambda: S.half_up(F.lit(-2.5)), -2), (lambda: S.image_filename(F.lit("<!-- a.png -->[[File:B c.JPG|x]]")), "B c.JPG"), (lambda: S.truncated(F.lit("abc"), 5), "abc"),
         (lambda: S.tagline_of(F.lit("x" * 50 + ". Next one.")), "x" * 50 + "."), (lambda: S.role_label(F.lit("sound_mix"), {"director": "Director"}), "Sound Mix"),
     ],
