@@ -221,7 +221,7 @@ def same_person(entries: DataFrame, key: str = "entry_id", name: str = "name", p
     # Names: how frequent, of which pages (two are as good as many).
     names = cut(rows.groupBy("node", "kind", "first", "last").agg(F.sum("n").alias("n"), F.min("page").alias("page"), F.max("page").alias("other")))
     known = names.filter("kind = 'full'").select("node", "n", "page", "other")
-    near = radius_pairs(known, "node")
+    near = cut(radius_pairs(known, "node"))
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     a, b = known.toDF("a", "na", "pa", "oa"), known.toDF("b", "nb", "pb", "ob")
     single = "coalesce(pa = oa, true) and coalesce(pb = ob, true) and coalesce(pa = pb, true)"
