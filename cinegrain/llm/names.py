@@ -243,15 +243,14 @@ def same_person(entries: DataFrame, key: str = "entry_id", name: str = "name", p
     lettered = of_name.filter("kind <> 'one'").select("group", "last", F.substring("first", 1, 1).alias("letter"), (F.col("kind") == "full").alias("is_full")).groupBy("group", "last", "letter").agg(F.max("is_full").alias("is_full")).join(total, "group")
     fulls = F.when(F.col("is_full"), F.col("total"))
     keys = lettered.groupBy("last", "letter").agg(
-        F.max_by("group", F.struct(fulls, F.col("group"))).alias("main"), F.max(fulls).alias("main_total"), F.sum(fulls).alias("full_total"), F.min("page").alias("p1"), F.max("other").alias("p2"), F.max_by("main_first", F.struct(fulls, F.col("group"))).alias("main_first")
+        F.max_by("group", F.struct(fulls, F.col("group"))).alias("main"), F.max(fulls).alias("main_total"), F.min("page").alias("p1"), F.max("other").alias("p2"), F.max_by("main_first", F.struct(fulls, F.col("group"))).alias("main_first")
     )
-    others = F.coalesce("full_total", F.lit(0)) - F.coalesce("main_total", F.lit(0))
-    clear = F.coalesce(F.col("p1") == F.col("p2"), F.lit(True)) & F.col("main_total").isNotNull() & ((F.col("main_total") >= 2 * others) | (others <= 2))
+    clear = F.coalesce(F.col("p1") == F.col("p2"), F.lit(True)) & F.col("main_total").isNotNull()
     keys = cut(keys.withColumn("clear", clear))
     joined = lettered.select("group", "last", "letter").join(keys.filter("clear"), ["last", "letter"]).filter("group <> main").groupBy("group").agg(F.min("main").alias("to"), F.max("main").alias("to2")).filter("to = to2").select("group", "to")
-    # Rare names without page whose first letter no other name of that last name has.
-    rare = keys.filter("clear and p1 is null and main_total <= 2").select("last", F.col("main").alias("group"), F.col("main_first").alias("rare_first"), F.col("main_total").alias("rare_total"))
-    ends = F.substring("rare_first", -3, 3) == F.substring("main_first", -3, 3)
+    # Persons without page whose first letter no other name of that last name has: perhaps a short form's.
+    rare = keys.filter("clear and p1 is null").select("last", F.col("main").alias("group"), F.col("main_first").alias("rare_first"), F.col("main_total").alias("rare_total"))
+    ends = (F.substring("rare_first", -2, 2) == F.substring("main_first", -2, 2)) & (F.length("rare_first") <= F.least(F.length("main_first"), F.lit(5)))
     far = rare.join(keys.filter("clear").select("last", "main", "main_total", "main_first"), "last").filter((F.col("group") != F.col("main")) & ends & (F.col("main_total") > F.col("rare_total")))
     far = far.groupBy("group").agg(F.min("main").alias("to"), F.count("*").alias("k")).filter("k = 1").select("group", "to")
     once, twice = joined.unionByName(far), far.select(F.col("group").alias("to"), F.col("to").alias("to_far"))
