@@ -20,7 +20,16 @@ REGISTRY = Registry()
 
 
 
-@REGISTRY.query()
+P3_SQL = r"""
+with recursive e as (
+  select distinct from_title a, to_title b from redirects where regexp_matches(from_title, '[^\s]') and regexp_matches(to_title, '[^\s]')),
+both_ways as (select a, b from e union select b, a from e),
+reach as (select a as title, a as other from both_ways union select r.title, x.b from reach r join both_ways x on x.a = r.other)
+select title, min(other) as group_title from reach group by title
+"""
+
+
+@REGISTRY.query(P3_SQL)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "redirects").filter(is_filled(F.col("from_title")) & is_filled(F.col("to_title")))
     return connected_groups(pairs, "from_title", "to_title").toDF("title", "group_title")
