@@ -106,7 +106,7 @@ def plain(raw: str | None) -> str:
     text = re.sub(r"\[\[([^\[\]|]+)(?:\|([^\[\]]*))?\]\]", lambda m: (m[2] or "").strip() or m[1].strip(), text)
     text = re.sub(r"\[(?:https?:)?//[^\s\]]+[ \t]*([^\]]*)\]", r"\1", text)
     for marks in ("'''''", "'''", "''"):
-        text = re.sub(rf"{marks}([^']+|[^'].*?[^']){marks}", r"\1", text)
+        text = re.sub(rf"{marks}(?!')(.+?)(?<!'){marks}", r"\1", text)
     text = re.sub(r"<br\s*/?>", " ", text, flags=re.IGNORECASE)
     text = re.sub(r"</?[a-zA-Z][^>]*>", "", text)
     text = re.sub("|".join(ENTITIES), lambda m: ENTITIES[m[0]], text)
@@ -149,14 +149,15 @@ def sections(text: str | None) -> list[dict]:
 
 
 # Titles of plot sections, the preferred first.
-PLOT_TITLES = ("plot", "plot summary", "synopsis", "premise", "story", "plot synopsis", "overview")
+PLOT_TITLES = ("plot", "plots", "premise", "synopsis", "synopses", "plot summary", "plot synopsis", "story")
 
 
 def plot_section(text: str | None) -> str | None:
     """The body of the section with the most preferred plot title."""
     own = {}
     for s in sections(text):
-        own.setdefault(s["title"].lower(), s["body"])
+        if s["body"].strip():
+            own.setdefault(s["title"].strip().lower(), s["body"])
     return next((own[t] for t in PLOT_TITLES if t in own), None)
 
 
