@@ -191,6 +191,9 @@ class ByteGru:
         ds[:, rows, labels] -= 1
         ds *= (mask / total)[:, :, None]
         flat = ds.reshape(-1, ds.shape[2])
+        codes = chunks.T.reshape(-1)
+        order = np.argsort(codes, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
         grads = {"c": flat.sum(axis=0), "v": np.vstack([out[d].reshape(-1, h).T @ flat for d in "fb"])}
         for d, part in (("f", w["v"][:h]), ("b", w["v"][h:])):
             dout = ds @ part.T
@@ -211,9 +214,8 @@ class ByteGru:
                 du += state.T @ dg
                 carried = dh * z + dg @ u.T
             grads[f"u{d}"] = du
-            hot = np.zeros((256, da.shape[0] * da.shape[1]), np.float32)
-            hot[chunks.T.reshape(-1), np.arange(hot.shape[1])] = 1
-            grads[f"x{d}"] = hot @ da.reshape(-1, 3 * h)
+            grads[f"x{d}"] = np.zeros_like(w[f"x{d}"])  # summed by byte
+            grads[f"x{d}"][codes[order][starts]] = np.add.reduceat(da.reshape(-1, 3 * h)[order], starts, axis=0)
         return loss, grads
 
     def train(self, chunks: np.ndarray, labels: np.ndarray, steps: int = 300, batch: int = 256, rate: float = 0.02, seed: int = 11) -> None:
