@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinegrain.session import cut
+
 
 def plan_refresh(previous: DataFrame, current: DataFrame) -> DataFrame:
     """(pageid, action): changed where the revid differs, added where there was none; vanished pages are ignored."""
@@ -79,7 +81,7 @@ def global_rank(df: DataFrame, order: list) -> DataFrame:
     """``rank`` from 0 in the total order, without bringing all rows to one task."""
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     ordered = ordered.withColumn("_in", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("bigint"), 33))
-    ordered = ordered.persist()
+    ordered = cut(ordered)  # the places are fixed once
     counts = sorted((r["_part"], r["n"]) for r in ordered.groupBy("_part").agg(F.count("*").alias("n")).collect())
     before, starts = 0, []
     for part, n in counts:
