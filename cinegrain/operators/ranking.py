@@ -58,6 +58,21 @@ def pick_match(results: DataFrame, by: list[str], wanted: Column, title: Column,
     return results.withColumn("tier", tier).withColumn("_p", place).filter("_p = 1").drop("_p")
 
 
+def best_matches(records: DataFrame, results: DataFrame) -> DataFrame:
+    """(key, id, tier) of every record with a result of its kind: title and year, title, year, any; the first id.
+
+    ``records`` is (key, kind, title, year), ``results`` (id, kind, title, year). Titles meet whole, trimmed and without
+    case. Each tier is a join with the least id of its key, one row per key, so frequent titles and years make no
+    pairs. Nulls meet nothing; a kind without results has no rows.
+    """
+    low = lambda df: df.withColumn("title", F.lower(F.trim("title")))
+    found, out = low(results), low(records)
+    for tier, by in enumerate((["kind", "title", "year"], ["kind", "title"], ["kind", "year"], ["kind"])):
+        out = out.join(found.groupBy(*by).agg(F.min("id").alias(f"_{tier}")), by, "left")
+    tier = F.coalesce(*[F.when(F.col(f"_{i}").isNotNull(), i) for i in range(4)])
+    return out.select("key", F.coalesce(*[f"_{i}" for i in range(4)]).alias("id"), tier.alias("tier")).filter("id is not null")
+
+
 def best_candidate(scored: DataFrame, by: list[str], ordinal: str = "ord", enough: int = 3, most: int = 4) -> DataFrame:
     """Of the first ``most`` candidates the first with a score that is enough, else the first with the highest.
 

@@ -310,11 +310,24 @@ def known_for(spark: SparkSession, d: str) -> DataFrame:
 row_number() over (partition by t.pageid order by tier, s.id) r from {TITLES} t join (select distinct id, title, try_cast(left(release_date, 4) as int) y, left(title, 8) head from search_results) s on s.head = left(t.title, 8)) where r = 1"""
 )
 def pick_match(spark: SparkSession, d: str) -> DataFrame:
+    """As its SQL, among results with the same first 8 characters of the title only; ``pick_match_all`` has no such cut."""
     results = table(spark, d, "search_results").dropDuplicates(["id"]).select("id", F.col("title").alias("found"), F.left("title", F.lit(8)).alias("head"), F.left("release_date", F.lit(4)).try_cast("int").alias("found_year"))
     pairs = titles(spark, d).select("pageid", "title", "year", F.left("title", F.lit(8)).alias("head")).join(results, "head")
     return ranking.pick_match(pairs, ["pageid"], F.col("title"), F.col("found"), F.col("year"), F.col("found_year"), "id").select("pageid", "id", "tier")
 
 
+@REGISTRY.query(
+    f"""select pageid, id, cast(tier as int) tier from (select t.pageid, s.id, case when s.low = lower(trim(t.title)) and s.y = t.year then 0 when s.low = lower(trim(t.title)) then 1 when s.y = t.year then 2 else 3 end tier,
+row_number() over (partition by t.pageid order by tier, s.id) r from {TITLES} t join (select distinct id, case when title is null then 'series' else 'movie' end kind, lower(trim(coalesce(title, name))) low, try_cast(left(coalesce(release_date, first_air_date), 4) as int) y from search_results) s using (kind)) where r = 1"""
+)
+def pick_match_all(spark: SparkSession, d: str) -> DataFrame:
+    """The best result of each title among all results of its kind; series have their title in ``name``."""
+    results = table(spark, d, "search_results").dropDuplicates(["id"])
+    kind = F.when(F.col("title").isNull(), "series").otherwise("movie")
+    results = results.select("id", kind.alias("kind"), F.coalesce("title", "name").alias("title"), F.left(F.coalesce("release_date", "first_air_date"), F.lit(4)).try_cast("int").alias("year"))
+    return ranking.best_matches(titles(spark, d).select(F.col("pageid").alias("key"), "kind", "title", "year"), results).withColumnRenamed("key", "pageid")
+
+
 @REGISTRY.query(
     """select pageid, entry_id, cast(score as int) score from (select *, row_number() over (partition by pageid order by case when score >= 3 then 0 else 1 end, case when score >= 3 then 0 else -score end, ord) r
 from (select distinct pageid, entry_id, ord - 1 as ord, entry_id % 5 - 1 as score from cast_entries where ord <= 4)) where r = 1 and score > 0"""

@@ -96,6 +96,19 @@ def test_picks(spark):
     assert [r["y"] for r in ranking.carried(lines, ["g"], ["i"], "y").orderBy("g", "i").collect()] == [5, 5, None, 7]
 
 
+def test_best_matches(spark):
+    records = [(1, "movie", "the Late show", 2001), (2, "movie", " Abc", None), (3, "series", "Abc", 2002), (4, "movie", "None such", 2001), (5, "movie", "None such", 1900), (6, "other", "Abc", 2001), (7, "movie", None, None)]
+    results = [(10, "movie", "The Late Show", 2001), (9, "movie", "THE LATE SHOW ", 2000), (12, "movie", "abc", 1999), (11, "series", "Abc", 2002), (8, "movie", None, None), (7, "series", "X", 2002)]
+    low = lambda t: t and t.strip(" ").lower()
+    want = {}
+    for key, kind, title, year in records:
+        tiers = [(0 if low(t) and low(t) == low(title) and y and y == year else 1 if low(t) and low(t) == low(title) else 2 if y and y == year else 3, i) for i, k, t, y in results if k == kind]
+        if tiers:
+            want[key] = min(tiers)[::-1]
+    got = ranking.best_matches(spark.createDataFrame(records, "key long, kind string, title string, year int"), spark.createDataFrame(results, "id long, kind string, title string, year int")).collect()
+    assert {r["key"]: (r["id"], r["tier"]) for r in got} == want and len(got) == len(want) and want[1] == (10, 0) and want[2] == (12, 1) and want[3] == (11, 0)
+
+
 def test_search(spark):
     docs = spark.createDataFrame([Row(id="m:1", k="movie", t="The Paper Lantern", q=["Ana B"]), Row(id="m:2", k="movie", t="River", q=["Paper Boy"]), Row(id="p:3", k="person", t="Lantem", q=[])])
     index = search.postings(docs)
