@@ -146,17 +146,28 @@ def awards_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return exploded(text, "l_orderkey", "text", "awards").select("l_orderkey", "year", "category", "result")
 
 
-@REGISTRY.query("select o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) number, cast(year(o_orderdate) as int) season, o_orderpriority title from orders where o_orderkey % 2 = 0")
-def episodes_round_trip(spark: SparkSession, d: str) -> DataFrame:
+def episodes_read(orders: DataFrame) -> DataFrame:
+    """Orders written as a customer's episodes, by year, and read back."""
     from pyspark.sql import Window
 
-    orders = table(spark, d, "orders").filter("o_orderkey % 2 = 0").withColumn("pos", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    orders = orders.withColumn("pos", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
     line = F.concat(F.lit("== Season "), F.year("o_orderdate").cast("string"), F.lit(" ==\n{{Episode list/sub\n| EpisodeNumber = "), F.col("pos").cast("string"), F.lit("\n| Title = "), "o_orderpriority", F.lit("\n| ShortSummary = key {{nowrap|"), F.col("o_orderkey").cast("string"), F.lit("}}\n}}"))
     text = written(orders, "o_custkey", line, "Lead\n")
     found = exploded(text, "o_custkey", "text", "episodes")
     return found.select(F.regexp_extract("summary", r"(\d+)", 1).cast("bigint").alias("o_orderkey"), F.col("number").cast("bigint").alias("number"), "season", "title")
 
 
+@REGISTRY.query("select o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) number, cast(year(o_orderdate) as int) season, o_orderpriority title from orders where o_orderkey % 2 = 0")
+def episodes_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """As its SQL, of orders with an even key only; ``episodes_round_trip_all`` has all."""
+    return episodes_read(table(spark, d, "orders").filter("o_orderkey % 2 = 0"))
+
+
+@REGISTRY.query("select o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) number, cast(year(o_orderdate) as int) season, o_orderpriority title from orders")
+def episodes_round_trip_all(spark: SparkSession, d: str) -> DataFrame:
+    return episodes_read(table(spark, d, "orders"))
+
+
 @REGISTRY.query("select p_partkey, 'https://reel.example/' || p_partkey url, p_name label, p_brand source from part")
 def references_round_trip(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("p_partkey").cast("string")

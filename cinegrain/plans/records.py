@@ -47,12 +47,28 @@ def season_payloads(spark: SparkSession, d: str) -> DataFrame:
 from lineitem join orders on o_orderkey = l_orderkey where l_linenumber <= 2"""
 )
 def fill_episodes(spark: SparkSession, d: str) -> DataFrame:
+    """As its SQL, of the first two lines of an order only; ``fill_episodes_all`` has all."""
     lines = table(spark, d, "lineitem").filter("l_linenumber <= 2")
     own = lines.select("l_orderkey", "l_linenumber", F.lit("1").alias("number"), F.when(F.col("l_linenumber") == 2, 1).alias("season"), F.when(F.col("l_linestatus") == "F", "own").otherwise("").alias("summary"), F.when(F.col("l_linenumber") == 2, "7").otherwise("").alias("runtime"))
     other = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit("1").alias("number"), F.lit(1).alias("season"), F.col("o_orderpriority").alias("summary"), F.col("o_custkey").cast("int").alias("runtime"))
     return R.fill_episodes(own, other, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "summary", "runtime")
 
 
+@REGISTRY.query(
+    """with e as (select distinct l_orderkey k, l_linenumber n, case when l_linenumber % 2 = 0 then 2 end s, o_orderpriority || l_linenumber s2, o_custkey r2 from lineitem join orders on o_orderkey = l_orderkey)
+select l_orderkey, l_linenumber, case when l_linestatus = 'F' then 'own' else s2 end summary, case when l_linenumber % 3 = 2 then '7' else cast(r2 as varchar) end runtime
+from lineitem left join e on k = l_orderkey and n = l_linenumber and coalesce(s, 1) = coalesce(case l_linenumber % 3 when 1 then 1 when 2 then 2 end, 1)"""
+)
+def fill_episodes_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every line as an episode: its number, seasons that are missing or differ on either side, own runtimes on some."""
+    n, lines = F.col("l_linenumber"), table(spark, d, "lineitem")
+    own = lines.select("l_orderkey", "l_linenumber", n.cast("string").alias("number"), F.when(n % 3 == 1, 1).when(n % 3 == 2, 2).alias("season"), F.when(F.col("l_linestatus") == "F", "own").otherwise("").alias("summary"), F.when(n % 3 == 2, "7").otherwise("").alias("runtime"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_custkey")
+    other = lines.select("l_orderkey", "l_linenumber").distinct().join(orders, "l_orderkey")
+    other = other.select("l_orderkey", n.cast("string").alias("number"), F.when(n % 2 == 0, 2).alias("season"), F.concat("o_orderpriority", n.cast("string")).alias("summary"), F.col("o_custkey").cast("int").alias("runtime"))
+    return R.fill_episodes(own, other, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "summary", "runtime")
+
+
 @REGISTRY.query(f"select pageid, title || '|' || language as items, case when len(directedby) > 0 then directedby[1] else title end as leading from (select distinct pageid, title, language, directedby from titles) where title <> language")
 def list_unions(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "titles").dropDuplicates(["pageid"]).filter("title <> language")
