@@ -547,10 +547,17 @@ def page_parameters(spark: SparkSession, d: str) -> DataFrame:
 
 @REGISTRY.query("select doc_id, case when length(s) between 40 and 200 then s end tagline from (select doc_id, trim(regexp_extract(trim(text), '^(.*?[.!?])(\\s+[A-Z\"''“(\\[]|$)', 1, 's')) s from documents where lang in ('en', 'EN', 'eng') and text ~ '^[A-Za-z ,0-9]+\\. [A-Z][a-z]')")
 def taglines(spark: SparkSession, d: str) -> DataFrame:
+    """As its SQL, of texts with a plain first sentence and three labels only; ``taglines_all`` has all."""
     docs = table(spark, d, "documents").filter(F.col("lang").isin("en", "EN", "eng") & F.col("text").rlike(r"^[A-Za-z ,0-9]+\. [A-Z][a-z]"))
     return docs.select("doc_id", S.tagline_of(F.col("text")).alias("tagline"))
 
 
+@REGISTRY.query()
+def taglines_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, whatever its label and first sentence; a null text has a null tagline."""
+    return table(spark, d, "documents").select("doc_id", S.tagline_of(F.col("text")).alias("tagline"))
+
+
 @REGISTRY.query(f"select id, case k when 'movie' then '/movies/' || s || '/' when 'series' then '/series/' || s || '/' when 'person' then '/people/' || s || '/' else '/' end url from {LAST_DAY}")
 def doc_urls(spark: SparkSession, d: str) -> DataFrame:
     return day_docs(spark, d).select("id", S.doc_url(F.col("id")).alias("url"))

@@ -74,15 +74,26 @@ def infobox_round_trip(spark: SparkSession, d: str) -> DataFrame:
 CAST_ROWS = f"(select pageid, entry_id, name, coalesce(wikititle, '') wikititle, coalesce(role, '') as role from {PEOPLE} where name ~ '^[A-Z][a-z]+ [A-Z][a-z]+$' and (wikititle is null or wikititle !~ '_') and origin = 'wiki')"
 
 
-@REGISTRY.query(f"select pageid, row_number() over (partition by pageid order by entry_id) pos, name, wikititle, role from {CAST_ROWS}")
-def cast_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    p = people(spark, d).filter("origin = 'wiki' and name rlike '^[A-Z][a-z]+ [A-Z][a-z]+$' and (wikititle is null or not wikititle like '%\\\\_%')")
+def cast_read(p: DataFrame) -> DataFrame:
+    """Cast entries written as a page's bullets, in order of entry_id, and read back; those without a name or link have none."""
+    p = p.filter("coalesce(nullif(trim(name), ''), nullif(trim(wikititle), '')) is not null")
     role = F.when(F.coalesce("role", F.lit("")) != "", F.concat(F.lit(" as "), "role")).otherwise("")
-    line = F.concat(F.lit("* "), F.when(F.col("wikititle").isNull(), F.col("name")).otherwise(F.concat(F.lit("[["), "wikititle", F.lit("|"), "name", F.lit("]]"))), role, F.when(F.col("entry_id") % 3 == 0, NOISE).otherwise(""))
+    line = F.concat(F.lit("* "), F.when(F.col("wikititle").isNull(), F.col("name")).otherwise(F.concat(F.lit("[["), "wikititle", F.lit("|"), F.coalesce("name", F.lit("")), F.lit("]]"))), role, F.when(F.col("entry_id") % 3 == 0, NOISE).otherwise(""))
     text = written(p.withColumn("pos", F.col("entry_id")), "pageid", line, "== Plot ==\n* no cast\n== Cast ==\nIntro\n", "\n== Music ==\n* none")
     return exploded(text, "pageid", "text", "cast").select("pageid", "pos", "name", F.coalesce("wikititle", F.lit("")).alias("wikititle"), "role")
 
 
+@REGISTRY.query(f"select pageid, row_number() over (partition by pageid order by entry_id) pos, name, wikititle, role from {CAST_ROWS}")
+def cast_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """As its SQL, of names of two plain words only; ``cast_round_trip_all`` has all."""
+    return cast_read(people(spark, d).filter("origin = 'wiki' and name rlike '^[A-Z][a-z]+ [A-Z][a-z]+$' and (wikititle is null or not wikititle like '%\\\\_%')"))
+
+
+@REGISTRY.query()
+def cast_round_trip_all(spark: SparkSession, d: str) -> DataFrame:
+    return cast_read(people(spark, d).filter("origin = 'wiki'"))
+
+
 LINES = "(select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) pos, count(*) over (partition by l_orderkey) n, year(o_orderdate) y, p_name, p_partkey, l_returnflag from lineitem join orders on o_orderkey = l_orderkey join part on p_partkey = l_partkey)"
 
 

@@ -88,12 +88,24 @@ def image_fallback(spark: SparkSession, d: str) -> DataFrame:
 from (select entry_id, case when p.entry_id % 2 = 0 then t.wikititle else p.wikititle end w from {PEOPLE} p join {TITLES} t using (pageid) where p.wikititle is not null and t.wikititle !~ '[^A-Za-z0-9 ()]') p left join {TITLES} t on t.wikititle = p.w"""
 )
 def work_links(spark: SparkSession, d: str) -> DataFrame:
+    """As its SQL, of titles without signs that addresses escape only; ``work_links_all`` has all."""
     t = titles(spark, d)
     rows = people(spark, d).filter("wikititle is not null").select("entry_id", "pageid", F.col("wikititle").alias("person")).join(t.select("pageid", "wikititle").filter("not wikititle rlike '[^A-Za-z0-9 ()]'"), "pageid")
     rows = rows.select("entry_id", F.when(F.col("entry_id") % 2 == 0, F.col("wikititle")).otherwise(F.col("person")).alias("work"))
     return R.work_links(rows, t, "work").select("entry_id", "url")
 
 
+@REGISTRY.query(
+    f"""select p.entry_id, case when t.slug is not null then case when t.kind = 'series' then '/series/' else '/movies/' end || t.slug || '/' else 'https://en.wikipedia.org/wiki/' || replace(replace(replace(replace(replace(url_encode(replace(w, ' ', '_')), '%28', '('), '%29', ')'), '%21', '!'), '%27', ''''), '%2A', '*') end url
+from (select entry_id, case when p.entry_id % 2 = 0 then t.wikititle else p.wikititle end w from {PEOPLE} p join {TITLES} t using (pageid) where p.wikititle is not null) p left join {TITLES} t on t.wikititle = p.w"""
+)
+def work_links_all(spark: SparkSession, d: str) -> DataFrame:
+    t = titles(spark, d)
+    rows = people(spark, d).filter("wikititle is not null").select("entry_id", "pageid", F.col("wikititle").alias("person")).join(t.select("pageid", "wikititle"), "pageid")
+    rows = rows.select("entry_id", F.when(F.col("entry_id") % 2 == 0, F.col("wikititle")).otherwise(F.col("person")).alias("work"))
+    return R.work_links(rows, t, "work").select("entry_id", "url")
+
+
 @REGISTRY.query(
     f"""select t.pageid, case when t.pageid % 5 = 0 then 'new' when t.pageid % 2 = 0 then 'old' else 'new' end tagline, case when t.pageid % 3 = 0 then 'g' else 'x' end genre from {TITLES} t"""
 )

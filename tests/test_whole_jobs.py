@@ -1,16 +1,44 @@
 """Queries named *_all read every row, where the queries of the same name without it keep the cuts of their SQL."""
 
 import os
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cinegrain.plans.extraction import cast_read
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
-@pytest.mark.parametrize(("name", "source"), [("episodes_round_trip_all", "orders"), ("fill_episodes_all", "lineitem")])
+@pytest.mark.parametrize(("name", "source"), [("episodes_round_trip_all", "orders"), ("fill_episodes_all", "lineitem"), ("taglines_all", "documents")])
 def test_every_row_comes_out(spark, name, source):
     assert entry.queries()[name](spark, DATA).count() == duckdb.sql(f"select count(*) from '{DATA}/{source}.parquet'").fetchall()[0][0]
+
+
+def test_cast_of_any_name(spark):
+    rows = [(1, 9, "O'Brien-Šmíd, Ana", None, "Dr. X"), (2, 9, "weneth tirehor", "Weneth_T", None), (3, 9, "R.K. Genigul", "R. K. (actor)", ""), (4, 9, None, "Only link", "Y"), (5, 9, "", "Other link", ""), (6, 9, None, None, "Z"), (7, 9, 'Ana "B" Cé', "A (b)", "Z")]
+    out = cast_read(spark.createDataFrame(rows, "entry_id long, pageid long, name string, wikititle string, role string")).collect()
+    want = [(n or w, w or "", r or "") for _, _, n, w, r in rows if n or w]
+    assert [(r["name"], r["wikititle"], r["role"]) for r in sorted(out, key=lambda r: r["pos"])] == want
+
+
+def first_sentence(text):
+    """By the character: up to white space after an end sign, not after an initial, before a capital, quotation or bracket."""
+    text = text.strip(" ")
+    for i, sign in enumerate(text):
+        after = text[i + 1 :]
+        rest = after.lstrip()
+        if sign in ".!?" and after != rest and re.match(r"[A-Z\"'“(\[]", rest) and not (sign == "." and i and "A" <= text[i - 1] <= "Z"):
+            return text[: i + 1]
+    return text
+
+
+def test_taglines_of_any_text(spark, tmp_path):
+    texts = ["It's the well-known “Café” of R. K. Narayan's elder sister! Next one.", "One two three four five six seven eight nine ten? (So) it is.", "Short. Next.", "a" * 250 + ". B", None, "", "नाम " * 15 + "x! Then", "No end sign at all but longer than forty characters", 'He said that "all is well here today, my friends." "Then" he left.']
+    spark.createDataFrame([(i, t, ("English", "en-IN", None, "hi")[i % 4]) for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["tagline"] for r in entry.queries()["taglines_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None or not 40 <= len(first_sentence(t)) <= 200 else first_sentence(t) for i, t in enumerate(texts)}
+    assert sum(v is not None for v in got.values()) >= 3
