@@ -6,11 +6,12 @@ from bisect import bisect_left
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinegrain.llm.elements import elements
+from cinegrain.session import cut
 
 _FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("content", T.StringType())]))
 _FOUND_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("pos", pa.int64()), ("content", pa.string())]))
@@ -73,41 +74,51 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 def page_differences(pages: DataFrame, key: str, host: str, path: str, text: str) -> DataFrame:
     """(key, near_key, n_lines, n_shared, text): each page without the lines it shares with the nearest page.
 
-    The nearest page is the neighbour in path order within the host: the page before, for the first one the page
-    after. Pages are range partitioned and sorted by (host, path, key) and read as a stream, so a host of any size is
-    spread over tasks and a task holds two pages at a time; the first page of a task takes the page after it.
-    Lines are compared stripped; blank lines stay and are not counted.
+    The nearest page is the neighbour in path order within the host: the nearest other path before, for pages of the
+    first path the one after; of a path's pages its last, the one with the greatest key, stands for it. Paths are
+    range partitioned and sorted, so a host of any size is spread over tasks. What a partition needs from others is the
+    last path before it and the first after it, and these go by two rows per partition: its first and last path.
 
-    Defined cases: a page alone in its host (or task) keeps its text, with a null near_key; null texts are left out;
-    null hosts and paths are values; repeated rows are pages of their own and lose all lines.
+    Defined cases: a page alone in its host, or whose host has one path, keeps its text, with a null near_key; null
+    texts are left out; null hosts and paths are values; repeated rows are pages of one path and not compared.
     """
 
     def run(frames):
-        def result(row, other):
-            lines = row[3].split("\n")
-            mine = [x.strip() for x in lines]
-            kept = [i for i, x in enumerate(mine) if x]
-            shared = {kept[i] for i in shared_lines([mine[i] for i in kept], [x.strip() for x in other[3].split("\n") if x.strip()])} if other else set()
-            return row[0], other[0] if other else None, len(kept), len(shared), "\n".join(x for i, x in enumerate(lines) if i not in shared)
-
-        before, waiting = None, None
         for frame in frames:
             out = []
-            for row in frame.itertuples(index=False, name=None):
-                if waiting is not None:
-                    out.append(result(waiting, row if row[1] == waiting[1] else None))
-                    waiting = None
-                if before is not None and before[1] == row[1]:
-                    out.append(result(row, before))
-                else:
-                    waiting = row
-                before = row
+            for k, mine, near, other in frame.itertuples(index=False, name=None):
+                lines = mine.split("\n")
+                stripped = [x.strip() for x in lines]
+                kept = [i for i, x in enumerate(stripped) if x]
+                has = near is not None and near == near
+                shared = {kept[i] for i in shared_lines([stripped[i] for i in kept], [x.strip() for x in other.split("\n") if x.strip()])} if has else set()
+                out.append((k, near if has else None, len(kept), len(shared), "\n".join(x for i, x in enumerate(lines) if i not in shared)))
             yield pd.DataFrame(out, columns=["key", "near", "n", "s", "t"])
-        if waiting is not None:
-            yield pd.DataFrame([result(waiting, None)], columns=["key", "near", "n", "s", "t"])
 
-    rows = pages.filter(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
-    found = ordered.mapInPandas(run, "key string, near string, n long, s long, t string")
+    rows = pages.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.col(text).alias("text"))
+    near = neighbours(rows.groupBy("host", "path").agg(F.max("key").alias("last")))
+    whose = rows.join(near, ["host", "path"], "left").select("key", "text", "near_path", "near", "host")
+    other = rows.select("host", F.col("path").alias("near_path"), F.col("key").alias("near"), F.col("text").alias("other")).dropDuplicates(["host", "near_path", "near"])
+    pairs = whose.join(other, ["host", "near_path", "near"], "left").select(F.col("key").cast("string").alias("key"), "text", F.col("near").cast("string").alias("near"), "other")
+    found = pairs.mapInPandas(run, "key string, near string, n long, s long, t string")
     kind = pages.schema[key].dataType
     return found.select(F.col("key").cast(kind).alias(key), F.col("near").cast(kind).alias(f"near_{key}"), F.col("n").alias("n_lines"), F.col("s").alias("n_shared"), F.col("t").alias("text"))
+
+
+def neighbours(paths: DataFrame) -> DataFrame:
+    """(host, path, near_path, near): the path before within the host, for the first one the path after, with its last key.
+
+    ``paths`` is (host, path, last), one row per path. Range partitions are read as streams; the path before a
+    partition's first and the one after its last come from the other partitions' ends, one small table of two rows per
+    partition.
+    """
+    kind = paths.schema["last"].dataType
+    ordered = cut(paths.repartitionByRange("host", "path").sortWithinPartitions("host", "path").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    # A partition's rows are numbered in order, and the numbers rise from partition to partition.
+    inner = Window.partitionBy("part", "host").orderBy("at")
+    seen = ordered.withColumn("b", F.lag(F.struct("path", "last")).over(inner)).withColumn("a", F.lead(F.struct("path", "last")).over(inner))
+    ends = ordered.groupBy("host", "part").agg(F.min_by(F.struct("path", "last"), "at").alias("first"), F.max_by(F.struct("path", "last"), "at").alias("end"))
+    by_host = Window.partitionBy("host").orderBy("part")
+    ends = ends.select("host", "part", F.lag("end").over(by_host).alias("before"), F.lead("first").over(by_host).alias("after"))
+    near = F.coalesce("b", "before", "a", "after")
+    return seen.join(ends, ["host", "part"]).select("host", "path", near["path"].alias("near_path"), near["last"].cast(kind).alias("near"))

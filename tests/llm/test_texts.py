@@ -82,6 +82,31 @@ def test_page_differences(spark):
     assert out[2]["text"] == "y\n" and out[2]["near_k"] == 1 and out[3]["text"] == "alone" and out[3]["near_k"] is None and 4 not in out
 
 
+def test_page_differences_across_partitions(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice("gh"), f"/{rng.randint(0, 40):02}", "\n".join(rng.choice("abcdef") for _ in range(6))) for i in range(120)] + [(500, "two", "/a", "x\ny"), (501, "two", "/b", "y\nz"), (502, "lone", "/a", "q"), (503, "lone", "/a", "q")]
+    df = spark.createDataFrame(rows, "k long, host string, path string, text string")
+    want = {}
+    for k, h, p, _ in rows:
+        paths = sorted({r[2] for r in rows if r[1] == h})
+        at = paths.index(p)
+        near = paths[at - 1] if at else paths[1] if len(paths) > 1 else None
+        want[k] = max((r[0] for r in rows if r[1] == h and r[2] == near), default=None)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": None}
+    old = {c: spark.conf.get(c) for c in conf}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out = page_differences(df, "k", "host", "path", "text").collect()
+            assert {r["k"]: r["near_k"] for r in out} == want and len(out) == len(rows)
+            by = {r["k"]: r["text"] for r in out}
+            assert by[500] == "x" and by[501] == "z" and by[502] == "q"
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
 @pytest.fixture(scope="module")
 def bpe():
     with open(DEFAULT_VOCABULARY, "rb") as f:
