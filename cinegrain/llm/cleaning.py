@@ -77,7 +77,7 @@ def page_differences(pages: DataFrame, key: str, host: str, path: str, text: str
     The nearest page is the neighbour in path order within the host: the nearest other path before, for pages of the
     first path the one after; of a path's pages its last, the one with the greatest key, stands for it. Paths are
     range partitioned and sorted, so a host of any size is spread over tasks. What a partition needs from others is the
-    last path before it and the first after it, and these go by two rows per partition: its first and last path.
+    last path before it and the first after it, and these go by one row per host and partition: its first and last path.
 
     Defined cases: a page alone in its host, or whose host has one path, keeps its text, with a null near_key; null
     texts are left out; null hosts and paths are values; repeated rows are pages of one path and not compared.
@@ -109,8 +109,7 @@ def neighbours(paths: DataFrame) -> DataFrame:
     """(host, path, near_path, near): the path before within the host, for the first one the path after, with its last key.
 
     ``paths`` is (host, path, last), one row per path. Range partitions are read as streams; the path before a
-    partition's first and the one after its last come from the other partitions' ends, one small table of two rows per
-    partition.
+    partition's first and the one after its last come from the other partitions' ends, one row per host and partition.
     """
     kind = paths.schema["last"].dataType
     ordered = cut(paths.repartitionByRange("host", "path").sortWithinPartitions("host", "path").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))

@@ -27,6 +27,22 @@ def build_documents(titles: DataFrame, cast: DataFrame, most: int = 8) -> DataFr
     return docs.select(F.concat_ws(":", "kind", "slug").alias("id"), F.col("kind").alias("k"), F.col("title").alias("t"), q.alias("q"))
 
 
+def person_documents(credits: DataFrame) -> DataFrame:
+    """(id, k, t, q): each linked person with the distinct titles credited to them, all of them, in order of ``ord``.
+
+    ``credits`` is (slug, rank, name, title, ord). The name is one of the least rank, the most frequent of these, the
+    first in a tie. Rows without slug are no persons'; a person none of whose titles are known has an empty list.
+    """
+    linked = credits.filter("slug is not null")
+    named = linked.filter("name is not null").groupBy("slug", "rank", "name").agg(F.count("*").alias("n"))
+    named = named.groupBy("slug").agg(F.min_by("name", F.struct("rank", -F.col("n"), "name")).alias("t"))
+    titles = linked.filter("title is not null").groupBy("slug", "title").agg(F.min("ord").alias("ord"))
+    titles = titles.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("ord", "title"))).alias("x"))
+    q = F.coalesce(F.transform("x", lambda x: x["title"]), F.array().cast("array<string>"))
+    docs = linked.select("slug").distinct().join(named, "slug", "left").join(titles, "slug", "left")
+    return docs.select(F.concat(F.lit("person:"), "slug").alias("id"), F.lit("person").alias("k"), "t", q.alias("q"))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 

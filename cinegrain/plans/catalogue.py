@@ -463,10 +463,24 @@ r as (select pageid, name, row_number() over (partition by pageid order by k) n
 select t.kind || ':' || t.slug id, t.title t, coalesce(string_agg(r.name, '|' order by r.n), '') q from {TITLES} t left join (select * from r where n <= 8) r using (pageid) group by 1, 2"""
 )
 def search_documents(spark: SparkSession, d: str) -> DataFrame:
+    """As its SQL, of titles only; ``search_documents_all`` has the persons too."""
     docs = search.build_documents(titles(spark, d, "directedby"), people(spark, d).filter("slug is not null or wikititle is not null"))
     return docs.select("id", "t", F.array_join("q", "|").alias("q"))
 
 
+@REGISTRY.query()
+def search_documents_all(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of titles and of linked persons; slugs of persons without one are issued from their article's title."""
+    t, p = titles(spark, d, "directedby"), people(spark, d).filter("slug is not null or wikititle is not null")
+    named = p.filter("wikititle is not null").select("wikititle").distinct().withColumn("base", S.slugify(F.col("wikititle")))
+    issued = resolve.issue_slugs(named, "base", ["wikititle"]).select("wikititle", F.col("slug").alias("issued"))
+    credits = p.join(issued, "wikititle", "left").join(t.select("pageid", "title"), "pageid", "left")
+    own = F.col("wikititle").isNotNull()
+    credits = credits.select(F.coalesce("slug", "issued").alias("slug"), F.when(own, 0).otherwise(1).alias("rank"), F.when(own, S.display_title(F.col("wikititle"))).otherwise(F.col("name")).alias("name"), "title", F.struct("pageid", "entry_id").alias("ord"))
+    docs = search.build_documents(t, p).unionByName(search.person_documents(credits))
+    return docs.select("id", "t", F.array_join("q", "|").alias("q"))
+
+
 @REGISTRY.query(f"select distinct id from {LAST_DAY}, unnest(regexp_split_to_array(lower(t), '[^a-z0-9]+')) x(w) where w like 'lan%'")
 def search_prefix(spark: SparkSession, d: str) -> DataFrame:
     return search.find(search.postings(day_docs(spark, d)), "lan", fuzzy=0.0, fields=["t"]).select("id")

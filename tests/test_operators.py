@@ -117,6 +117,12 @@ def test_search(spark):
     assert search.postings(docs.limit(0)).count() == 0
 
 
+def test_person_documents(spark):
+    credits = [("ana-b", 0, "Ana B", f"T{i}", i) for i in range(10, 0, -1)] + [("ana-b", 0, "Ana B", "T1", 99), ("ana-b", 1, "Anna", None, 3), ("c", 1, "Cy", None, 1), ("c", 1, "Cai", None, 2), (None, 1, "D", "T1", 1)]
+    out = {r["id"]: (r["k"], r["t"], r["q"]) for r in search.person_documents(spark.createDataFrame(credits, "slug string, rank int, name string, title string, ord long")).collect()}
+    assert out == {"person:ana-b": ("person", "Ana B", [f"T{i}" for i in range(1, 11)]), "person:c": ("person", "Cai", [])}
+
+
 def test_category_walk_and_merge(spark):
     members = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("b", "a")], "parent string, child string")
     out = {r["node"]: r["level"] for r in resolve.category_walk(members, spark.createDataFrame([("a",)], "node string")).collect()}

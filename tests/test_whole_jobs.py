@@ -42,3 +42,12 @@ def test_taglines_of_any_text(spark, tmp_path):
     got = {r["doc_id"]: r["tagline"] for r in entry.queries()["taglines_all"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None or not 40 <= len(first_sentence(t)) <= 200 else first_sentence(t) for i, t in enumerate(texts)}
     assert sum(v is not None for v in got.values()) >= 3
+
+
+def test_persons_have_documents(spark):
+    rows = entry.queries()["search_documents_all"](spark, DATA).toPandas()
+    t = f"'{DATA}/titles.parquet'"
+    titles = duckdb.sql(f"select count(distinct pageid) from {t}").fetchall()[0][0]
+    links = duckdb.sql(f"select count(distinct wikititle) from '{DATA}/cast_entries.parquet'").fetchall()[0][0]
+    assert rows["id"].is_unique and (~rows["id"].str.startswith("person:")).sum() == titles
+    assert rows["id"].str.startswith("person:").sum() >= links
