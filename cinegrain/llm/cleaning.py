@@ -97,9 +97,11 @@ def page_differences(pages: DataFrame, key: str, host: str, path: str, text: str
 
     rows = pages.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.col(text).alias("text"))
     near = neighbours(rows.groupBy("host", "path").agg(F.max("key").alias("last")))
-    whose = rows.join(near, ["host", "path"], "left").select("key", "text", "near_path", "near", "host")
-    other = rows.select("host", F.col("path").alias("near_path"), F.col("key").alias("near"), F.col("text").alias("other")).dropDuplicates(["host", "near_path", "near"])
-    pairs = whose.join(other, ["host", "near_path", "near"], "left").select(F.col("key").cast("string").alias("key"), "text", F.col("near").cast("string").alias("near"), "other")
+    # Texts are moved by key alone: once to their page, once to the neighbour's key, and those that stand for a path.
+    whose = rows.select("key", "host", "path").join(near, ["host", "path"], "left").select("key", F.col("near").alias("other_key")).dropDuplicates(["key"])
+    stands = near.select(F.col("near").alias("other_key")).distinct()
+    other = rows.select(F.col("key").alias("other_key"), F.col("text").alias("other")).join(stands, "other_key", "left_semi").dropDuplicates(["other_key"])
+    pairs = rows.select("key", "text").join(whose, "key", "left").join(other, "other_key", "left").select(F.col("key").cast("string").alias("key"), "text", F.col("other_key").cast("string").alias("near"), "other")
     found = pairs.mapInPandas(run, "key string, near string, n long, s long, t string")
     kind = pages.schema[key].dataType
     return found.select(F.col("key").cast(kind).alias(key), F.col("near").cast(kind).alias(f"near_{key}"), F.col("n").alias("n_lines"), F.col("s").alias("n_shared"), F.col("t").alias("text"))
