@@ -109,13 +109,13 @@ class ByteBpe:
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text; none for null and the empty text.
 
-        A single space between two other characters always starts a piece, so a text without doubled spaces is
-        encoded word by word, and words are remembered.
+        A single space always starts a piece unless it stands between white space, or white space and the end, so a text
+        without such a space is encoded word by word, and words are remembered.
         """
         if not text:
             return []
         units = self.units
-        if "  " in text:
+        if "  " in text or _INNER_SPACE.search(text):
             words = self.find(text)
         else:
             first, *rest = text.split(" ")
@@ -124,6 +124,9 @@ class ByteBpe:
         return list(chain.from_iterable(map(units.__getitem__, words)))
 
 
+_INNER_SPACE = regex.compile(r"\p{White_Space} (?=\p{White_Space}|\Z)")
+
+
 class _Memo(dict):
     """Remembers a function's results, at most so many."""
 

@@ -132,6 +132,15 @@ def test_bpe_matches_library(bpe):
     assert bpe.encode("ab" * 20_000) == reference.encode_ordinary("ab" * 20_000)
 
 
+def test_mixed_white_space(bpe):
+    """Word by word is the same as piece by piece."""
+    rng = random.Random(4)
+    texts = ["a \u00a0 \u00a0 b", "a\u00a0 ", "a \u00a0b", "\n a"] + ["".join(rng.choice("ab \u00a0\n\u2003") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    for text in texts:
+        assert bpe.encode(text) == [i for p in bpe.find(text) for i in bpe.piece(p.encode())]
+    assert 11504 in bpe.encode(texts[0])
+
+
 def test_encode_corpus(spark):
     df = spark.createDataFrame([(1, "the cat", "k"), (2, "", "k"), (3, None, "k"), (None, "a", "k")], "doc_id long, text string, key string")
     out = {r["doc_id"]: r["ids"] for r in encode_corpus(df).collect()}
