@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,29 +18,43 @@ def content_hash(*columns: Column) -> Column:
 
 
 class StateStore:
-    """Versions of a state table in one folder, and the pointer file CURRENT that names the valid one.
-
-    A version is written whole under a new name; only then the pointer is replaced by a rename, which the file
-    system does at once or not at all. A run that dies before the swap leaves the old state valid, so its records
-    are found again and none is skipped; a run that has swapped never sees its records again.
+    """Versions of a state table in one folder, and a log of commits of which the last one names the valid version.
+
+    A version is written whole under a new name. It becomes valid by a commit file with the next number, put there by
+    a rename that fails if the number is taken: of two runs that started from one state only one can commit, the other
+    fails and is repeated from the new state. A run that dies before its commit leaves the old state valid, so its
+    records are found again and none is skipped; a run that has committed never sees its records again. What a run
+    wrote as its output is named in the same file, so state and output become visible at once. A commit deletes the
+    states before the last ``keep`` and what runs that died left.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
+        self.spark, self.path, self.keep = spark, path, keep
 
-    def _pointer(self):
-        return hadoop_path(self.spark, f"{self.path}/CURRENT")
+    def _listed(self, folder: str) -> list[str]:
+        files, at = hadoop_path(self.spark, folder)
+        return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
 
-    def version(self) -> str | None:
-        files, at = self._pointer()
-        if not files.exists(at):
-            return None
+    def _drop(self, name: str) -> None:
+        files, at = hadoop_path(self.spark, f"{self.path}/{name}")
+        files.delete(at, True)
+
+    def commit_number(self) -> int:
+        """The number of the last commit; 0 before the first."""
+        return max((int(n) for n in self._listed(f"{self.path}/commits") if n.isdigit()), default=0)
+
+    def _commit(self, number: int) -> dict:
+        files, at = hadoop_path(self.spark, f"{self.path}/commits/{number:012}")
         stream = files.open(at)
         try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def version(self) -> str | None:
+        number = self.commit_number()
+        return self._commit(number)["state"] if number else None
+
     def read(self, schema) -> DataFrame:
         """The valid state, or an empty one with the schema before the first run."""
         version = self.version()
@@ -47,52 +62,103 @@ class StateStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(f"{self.path}/{version}")
 
-    def stage(self, state: DataFrame) -> str:
-        """Write a new version; it isn't valid yet."""
-        version = f"v-{uuid.uuid4().hex}"
-        state.write.parquet(f"{self.path}/{version}")
-        return version
-
-    def swap(self, version: str) -> None:
-        """Make a staged version the valid one."""
+    def outputs(self) -> list[str]:
+        """Paths of the outputs of all committed runs, in their order."""
+        found = (self._commit(int(n))["output"] for n in self._listed(f"{self.path}/commits") if n.isdigit())
+        return [f"{self.path}/{name}" for name in found if name]
+
+    def stage(self, rows: DataFrame, what: str = "state", after: int | None = None) -> str:
+        """Write a table of the run that follows commit ``after`` (the last one); it isn't valid yet."""
+        number = (self.commit_number() if after is None else after) + 1
+        name = f"{what}-{number:012}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def swap(self, version: str, output: str | None = None) -> None:
+        """Make a staged version, and an output, valid; fails if another run has committed since it was staged."""
+        number = int(version.split("-")[1])
         jvm = self.spark.sparkContext._jvm
-        files, new = hadoop_path(self.spark, f"{self.path}/.CURRENT-{uuid.uuid4().hex}")
+        files, new = hadoop_path(self.spark, f"{self.path}/.commit-{uuid.uuid4().hex}")
         stream = files.create(new, True)
-        stream.write(bytearray(version.encode()))
+        stream.write(bytearray(json.dumps({"state": version, "output": output}).encode()))
         stream.close()
+        _, target = hadoop_path(self.spark, f"{self.path}/commits/{number:012}")
+        files.mkdirs(target.getParent())
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        option = jvm.org.apache.hadoop.fs.Options.Rename
-        flags = self.spark.sparkContext._gateway.new_array(option, 1)
-        flags[0] = option.OVERWRITE
-        context.rename(new, jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT"), flags)
-
-
-def changed_records(current: DataFrame, state: DataFrame, key: str, digest: str) -> DataFrame:
-    """Rows of ``current`` that the state lacks or holds with another hash, with ``change`` = added or changed.
-
-    ``state`` has one row per key and hash that was processed; rows of ``current`` with a null key are left out.
+        try:
+            if self.commit_number() >= number:
+                raise StaleRunError(f"commit {number} was taken by another run")
+            context.rename(new, target, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception as error:
+            files.delete(new, False)
+            self._drop(version)
+            if "FileAlreadyExists" in str(error):
+                raise StaleRunError(f"commit {number} was taken by another run") from error
+            raise
+        self._tidy(number)
+
+    def _tidy(self, number: int) -> None:
+        """Delete what commits before ``number`` left behind: old states, and tables of runs that never committed."""
+        for name in self._listed(self.path):
+            what, _, rest = name.partition("-")
+            at = int(rest[:12]) if rest[:12].isdigit() else number
+            if at < number and (name != self._commit(at).get(what) or what == "state" and at <= number - self.keep):
+                self._drop(name)
+
+
+class StaleRunError(RuntimeError):
+    """Another run has committed since this one read the state."""
+
+
+def changed_records(current: DataFrame, state: DataFrame, key: str, digest: str, order: str | None = None) -> DataFrame:
+    """Records of ``current`` that the state lacks or holds with another hash, with ``change`` = added or changed.
+
+    ``state`` has one row per key: the hash that was processed last, so a record that goes back to earlier content is
+    changed again. Of several rows of one key in ``current`` the one with the greatest ``order``, then hash, is the
+    record (a partially aggregated maximum; no group is gathered); rows with a null key are left out. A null hash is a
+    value.
     """
-    known = state.select(F.col(key).alias("_key"), F.col(digest).alias("_digest")).distinct()
-    per_key = known.groupBy("_key").agg(F.lit(True).alias("_known"))
-    hit = known.withColumn("_done", F.lit(True))
+    place = F.struct(*([F.col(order)] if order else []), F.col(digest))
     rows = current.filter(F.col(key).isNotNull())
-    joined = rows.join(hit, (rows[key] == hit["_key"]) & (rows[digest] == hit["_digest"]), "left").drop("_key", "_digest").filter(F.col("_done").isNull()).drop("_done")
-    return joined.join(per_key, joined[key] == per_key["_key"], "left").withColumn("change", F.when(F.col("_known"), "changed").otherwise("added")).drop("_key", "_known")
+    newest = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*[F.col(c) for c in current.columns]), place).alias("_row"))
+    held = state.select(F.col(key).alias("_key"), F.col(digest).alias("_digest"), F.lit(True).alias("_known"))
+    joined = newest.join(held, "_key", "left").filter(F.col("_known").isNull() | ~F.col("_row")[digest].eqNullSafe(F.col("_digest")))
+    return joined.select("_row.*", F.when(F.col("_known"), "changed").otherwise("added").alias("change"))
+
+
+def latest_state(state: DataFrame, todo: DataFrame, key: str, digest: str) -> DataFrame:
+    """The state after ``todo`` (one row per key) was processed: its hashes, and those of the keys it doesn't have."""
+    kept = state.select(key, digest).join(todo.select(key), key, "left_anti")
+    return kept.unionByName(todo.select(key, digest))
 
 
-def run_incremental(store: StateStore, current: DataFrame, key: str, digest: str, process) -> int:
-    """Process what is new or changed, then make it known: stage, process, swap.
+def run_selected(store: StateStore, schema, select, advance, process):
+    """One run: select, write what is to do, process it, stage the state after it, commit.
 
-    ``process`` gets the DataFrame of changed records and must be idempotent for one version of a record, since a
-    run that fails between its end and the swap is repeated. Returns the number of records processed.
+    ``select(state)`` gives the records to process. They are written once and read back for both ``process(todo)`` and
+    ``advance(state, todo)``, the state after them, so both see the same rows. A DataFrame that ``process`` returns is
+    written beside the state and published with it: nothing of a run that fails is ever visible, and nothing is
+    published twice. Other effects of ``process`` must be idempotent, since a run that fails after them is repeated.
+    Returns the published table, or what ``process`` returned.
     """
-    schema = current.select(key, digest).schema
+    number = store.commit_number()
     state = store.read(schema)
-    todo = changed_records(current, state, key, digest)
-    version = store.stage(state.select(key, digest).unionByName(todo.select(key, digest)).distinct())
-    n = process(todo)
-    store.swap(version)
-    return n
+    todo_name = store.stage(select(state), "todo", number)
+    todo = store.spark.read.parquet(f"{store.path}/{todo_name}")
+    done = process(todo)
+    output = store.stage(done, "output", number) if isinstance(done, DataFrame) else None
+    store.swap(store.stage(advance(state, todo), "state", number), output)
+    store._drop(todo_name)
+    return store.spark.read.parquet(f"{store.path}/{output}") if output else done
+
+
+def run_incremental(store: StateStore, current: DataFrame, key: str, digest: str, process, order: str | None = None):
+    """Process the records of ``current`` that are new or changed against the store's state; see ``run_selected``."""
+    schema = current.select(key, digest).schema
+    return run_selected(store, schema, lambda state: changed_records(current, state, key, digest, order), lambda state, todo: latest_state(state, todo, key, digest), process)
+
+
+PAGE_STATE = "pageid long, digest string, until_s long"
 
 
 def newest_versions(pages: DataFrame) -> DataFrame:
@@ -125,7 +191,7 @@ def page_state(entries: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def pending_pages(newest: DataFrame, state: DataFrame) -> DataFrame:
-    """(pageid, change) of the pages whose newest version the state doesn't hold; see ``newest_versions``, ``page_state``.
+    """(pageid, change, digest, first_s) of the pages whose newest version the state doesn't hold; see ``newest_versions``.
 
     ``newest`` has one row per page, so the join gives one row per row of the state; the sum over them needs no
     further shuffle, since it has the key of the join.
@@ -133,5 +199,20 @@ def pending_pages(newest: DataFrame, state: DataFrame) -> DataFrame:
     current = newest.select("pageid", F.when(F.col("revid").isNotNull(), content_hash(F.col("revid"))).alias("_digest"), "first_s")
     held = state.select("pageid", "digest", "until_s", F.lit(1).alias("_held"))
     done = F.coalesce(F.col("_digest") == F.col("digest"), F.lit(False)) | F.coalesce(F.col("first_s") <= F.col("until_s"), F.lit(False))
-    verdict = current.join(held, "pageid", "left").groupBy("pageid").agg(F.max(done).alias("done"), F.count("_held").alias("held"))
-    return verdict.filter("not done").select("pageid", F.when(F.col("held") > 0, "changed").otherwise("added").alias("change"))
+    verdict = current.join(held, "pageid", "left").groupBy("pageid").agg(F.max(done).alias("done"), F.count("_held").alias("held"), F.max("_digest").alias("digest"), F.max("first_s").alias("first_s"))
+    return verdict.filter("not done").select("pageid", F.when(F.col("held") > 0, "changed").otherwise("added").alias("change"), "digest", "first_s")
+
+
+def run_pages(store: StateStore, pages: DataFrame) -> DataFrame:
+    """One run over the fetched pages: (pageid, change) of the pages whose newest version no run has taken in.
+
+    A version once taken in stays known, as a revision never changes: the state has a row per page and revision, and
+    for versions without revision the latest fetch that was taken in.
+    """
+    newest = newest_versions(pages)
+
+    def advance(state, todo):
+        more = todo.select("pageid", "digest", F.when(F.col("digest").isNull(), F.col("first_s")).alias("until_s"))
+        return state.select("pageid", "digest", "until_s").unionByName(more).groupBy("pageid", "digest").agg(F.max("until_s").alias("until_s"))
+
+    return run_selected(store, PAGE_STATE, lambda state: pending_pages(newest, state), advance, lambda todo: todo.select("pageid", "change"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinegrain.operators.incremental import StateStore, newest_versions, page_state, pending_pages
+from cinegrain.operators.incremental import StateStore, content_hash, page_state, run_incremental, run_pages
 from cinegrain.operators.snapshot_diff import diff_snapshots
 from cinegrain.operators.split_values import split_values
 from cinegrain.plans.registry import Registry
@@ -92,7 +92,32 @@ where not exists (select 1 from done d where d.pageid = n.pageid
 
 @REGISTRY.query(P7_SQL)
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = page_state(table(spark, sf_dir, "cache_entries"), table(spark, sf_dir, "refresh_runs"))
+    """What the next run takes: a state with what earlier runs took in is committed, then one run is made from it."""
     store = StateStore(spark, scratch_path(spark, "page-state"))
-    store.swap(store.stage(state))
-    return pending_pages(newest_versions(table(spark, sf_dir, "raw_pages")), store.read(state.schema))
+    store.swap(store.stage(page_state(table(spark, sf_dir, "cache_entries"), table(spark, sf_dir, "refresh_runs"))))
+    return run_pages(store, table(spark, sf_dir, "raw_pages"))
+
+
+P7_CONTENT_SQL = """
+with f as (select pageid, title, wikitext, thumb, extract, fetch_id, landed_at from raw_pages where not coalesce(missing, false)),
+cut as (select max(landed_at) till from raw_pages where landed_at <= (select max(started_at) from refresh_runs where status = 'ok')),
+newest as (select pageid, max_by(f, (landed_at, fetch_id)) v from f group by 1),
+before as (select pageid, max_by(f, (landed_at, fetch_id)) v from f, cut where landed_at <= cut.till group by 1)
+select n.pageid, case when b.pageid is null then 'added' else 'changed' end as change
+from newest n left join before b using (pageid)
+where b.pageid is null or (n.v.title, n.v.wikitext, n.v.thumb, n.v.extract) is distinct from (b.v.title, b.v.wikitext, b.v.thumb, b.v.extract)
+"""
+
+
+@REGISTRY.query(P7_CONTENT_SQL)
+def p7_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose content (title, text, picture, extract) is new or other than at the start of the last ok run.
+
+    Two runs of the incremental operator on the hash of the content: over what had landed then, and over all.
+    """
+    fetched = table(spark, sf_dir, "raw_pages").filter("not coalesce(missing, false)")
+    pages = fetched.select("pageid", "landed_at", F.struct("landed_at", "fetch_id").alias("place"), content_hash(*[F.col(c) for c in ("title", "wikitext", "thumb", "extract")]).alias("digest"))
+    started = table(spark, sf_dir, "refresh_runs").filter("status = 'ok'").agg(F.max("started_at").alias("at"))
+    store = StateStore(spark, scratch_path(spark, "content-state"))
+    run_incremental(store, pages.join(F.broadcast(started), pages["landed_at"] <= started["at"]).drop("at"), "pageid", "digest", lambda todo: None, order="place")
+    return run_incremental(store, pages, "pageid", "digest", lambda todo: todo.select("pageid", "change"), order="place")

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from cinegrain.operators.incremental import StateStore, content_hash, newest_versions, page_state, pending_pages, run_incremental
+from cinegrain.operators.incremental import StaleRunError, StateStore, changed_records, content_hash, newest_versions, page_state, pending_pages, run_incremental, run_pages
 from cinegrain.operators.snapshot_diff import diff_snapshots
 from cinegrain.operators.split_values import acts_pattern, atoms, neat, split_values
 from cinegrain.session import scratch_path
@@ -87,3 +87,67 @@ def test_state_survives_failure(spark):
     assert store.version() == before
     assert run_incremental(store, more, "k", "h", lambda df: df.count()) == 1
     assert run_incremental(store, more, "k", "h", lambda df: df.count()) == 0
+
+
+def hashed(spark, *rows):
+    return spark.createDataFrame(list(rows), "k long, v string").withColumn("h", content_hash(F.col("v")))
+
+
+def test_records_that_go_back_are_changed_again(spark):
+    store = StateStore(spark, scratch_path(spark, "state"))
+    changes = lambda todo: todo.select("k", "v", "change")
+    seen = [{tuple(r) for r in run_incremental(store, hashed(spark, (1, v), (2, "same")), "k", "h", changes).collect()} for v in "ABA"]
+    assert seen == [{(1, "A", "added"), (2, "same", "added")}, {(1, "B", "changed")}, {(1, "A", "changed")}]
+    assert [spark.read.parquet(p).count() for p in store.outputs()] == [2, 1, 1]
+    assert store.read("k long, h string").count() == 2
+    assert sum(name.startswith("state-") for name in store._listed(store.path)) == 2 and not any(name.startswith("todo-") for name in store._listed(store.path))
+
+
+def test_rows_of_one_key(spark):
+    rows = hashed(spark, (1, "A"), (1, "A"), (1, "B"), (None, "C"), (2, None)).withColumn("change0", F.when(F.col("v") == "B", 2).otherwise(1))
+    out = changed_records(rows, hashed(spark, (1, "A")).limit(1), "k", "h", order="change0").collect()
+    assert {(r["k"], r["v"], r["change"]) for r in out} == {(1, "B", "changed"), (2, None, "added")}
+    assert changed_records(rows.limit(0), hashed(spark), "k", "h").count() == 0
+
+
+def test_run_that_dies(spark, monkeypatch):
+    store = StateStore(spark, scratch_path(spark, "state"))
+    rows = hashed(spark, (1, "A"))
+
+    def dies(*_):
+        raise RuntimeError
+
+    with monkeypatch.context() as m:  # after processing, before the commit
+        m.setattr(StateStore, "swap", dies)
+        with pytest.raises(RuntimeError):
+            run_incremental(store, rows, "k", "h", lambda todo: todo)
+    assert store.version() is None and store.outputs() == []
+    with monkeypatch.context() as m:  # after the commit
+        m.setattr(StateStore, "_tidy", dies)
+        with pytest.raises(RuntimeError):
+            run_incremental(store, rows, "k", "h", lambda todo: todo)
+    assert run_incremental(store, rows, "k", "h", lambda todo: todo).count() == 0
+    assert sum(spark.read.parquet(p).count() for p in store.outputs()) == 1
+
+
+def test_two_runs_at_once(spark):
+    store = StateStore(spark, scratch_path(spark, "state"))
+
+    def other_run(todo):
+        run_incremental(store, hashed(spark, (1, "A"), (2, "B")), "k", "h", lambda own: own)
+        return todo
+
+    with pytest.raises(StaleRunError):
+        run_incremental(store, hashed(spark, (1, "A")), "k", "h", other_run)
+    assert [spark.read.parquet(p).count() for p in store.outputs()] == [2]
+    assert run_incremental(store, hashed(spark, (1, "A"), (2, "C")), "k", "h", lambda todo: todo).count() == 1
+
+
+def test_page_runs_follow_each_other(spark):
+    store = StateStore(spark, scratch_path(spark, "pages"))
+    schema = "pageid long, revid long, fetchedat string, missing boolean"
+    first = [(1, 5, "2026-01-01T00:00:00Z", None), (2, None, "2026-01-03T00:00:00Z", None)]
+    assert {tuple(r) for r in run_pages(store, spark.createDataFrame(first, schema)).collect()} == {(1, "added"), (2, "added")}
+    more = first + [(1, 6, "2026-01-05T00:00:00Z", None), (2, None, "2026-01-03T00:00:00.4Z", None), (3, 1, "2026-01-05T00:00:00Z", None)]
+    assert {tuple(r) for r in run_pages(store, spark.createDataFrame(more, schema)).collect()} == {(1, "changed"), (3, "added")}
+    assert run_pages(store, spark.createDataFrame(first, schema)).count() == 0
