@@ -16,33 +16,48 @@ def first_edges(redirects: DataFrame) -> DataFrame:
     return edges.groupBy("from_title").agg(F.min_by("to_title", F.struct("ord", "to_title")).alias("to_title"))
 
 
-def resolve_titles(redirects: DataFrame, most: int = 64) -> DataFrame:
-    """(from_title, final_title, hops): each title followed along first edges to the end or to before a repeat.
+def _jumped(known: DataFrame, end: str, times: int = 3) -> DataFrame:
+    """(from_title, at, ``end``) after ``times`` more jumps by the same table: each title points (times + 1) as far on.
 
-    Pointer jumping: after round k a title points 2**k edges on, so chains settle in a logarithmic number of joins.
-    Titles on or before a cycle never settle; only they are walked edge by edge with the titles seen, so that the walk
-    stops before a repeated title.
+    A title without a row of its own is an end and stays; ``end`` says of the last jump whether it found a row, or
+    whether that row is marked. The table has one row per title, so a title that many point to can be split.
+    """
+    for i in range(times):
+        on = known.select(F.col("from_title").alias("at"), F.col("at").alias("_on"), F.col(end).alias("_end"))
+        stepped = (known if not i else stepped).drop(end).join(on, "at", "left")
+        stepped = stepped.select("from_title", F.coalesce("_on", "at").alias("at"), F.coalesce("_end", F.lit(True)).alias(end))
+    return stepped
+
+
+def resolve_titles(redirects: DataFrame) -> DataFrame:
+    """(from_title, final_title): each title followed along first edges to the end or to before a repeat.
+
+    Pointer jumping: after round k a title points 4**k edges on, so chains settle in a logarithmic number of rounds.
+    What doesn't settle leads into a cycle. The titles such jumps end at are the cycles themselves as soon as the next
+    edge maps them one to one; every walk then ends before the title of the cycle it meets first, which a second
+    pointer jumping finds. No path is ever gathered.
     """
     edges = cut(first_edges(redirects))
-    known = edges.select("from_title", F.col("to_title").alias("at"), F.lit(1).alias("hops"))
-    for _ in range(most):
-        nxt = known.select(F.col("from_title").alias("at"), F.col("at").alias("on"), F.col("hops").alias("more"))
-        known = cut(known.join(nxt, "at", "left").select("from_title", F.coalesce("on", "at").alias("at"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("on").isNotNull().alias("moved")))
-        moving = known.filter("moved")
-        if not moving.head(1):
-            break
-        # Hops beyond the number of edges mean a cycle: set those aside.
-        known = known.withColumn("hops", F.least("hops", F.lit(1 << 40)))
-        if not moving.filter("hops < 4096").head(1):
+    known = edges.select("from_title", F.col("to_title").alias("at"), F.lit(False).alias("settled"))
+    after = edges.select(F.col("from_title").alias("at"), "to_title")
+    while True:
+        known = cut(_jumped(known, "settled").withColumn("settled", F.lit(False)).join(after.select("at", F.lit(True).alias("_more")), "at", "left").select("from_title", "at", F.col("_more").isNull().alias("settled")))
+        done = known.filter("settled").select("from_title", F.col("at").alias("final_title"))
+        ring = known.filter("not settled").select("at").distinct().join(after, "at").select(F.col("at").alias("from_title"), "to_title")
+        n, onto = ring.agg(F.count("*"), F.count_distinct("to_title")).first()
+        if not n:
+            return done
+        # Chains still on their way would end at titles whose next edge leads to others yet, or to an end.
+        if n == onto and not ring.select(F.col("to_title").alias("from_title")).join(ring, "from_title", "left_anti").head(1):
             break
-    settled = known.filter("not moved").select("from_title", F.col("at").alias("final_title"))
-    loops = known.filter("moved").select("from_title").join(edges, "from_title")
-    walk = cut(loops.select("from_title", F.col("to_title").alias("at"), F.array("from_title", "to_title").alias("seen"), F.lit(False).alias("done")))
-    while walk.filter("not done").head(1):
-        step = walk.join(edges.select(F.col("from_title").alias("at"), F.col("to_title").alias("on")), "at", "left")
-        stop = F.col("done") | F.col("on").isNull() | F.array_contains("seen", F.col("on"))
-        walk = cut(step.select("from_title", F.when(stop, F.col("at")).otherwise(F.col("on")).alias("at"), F.when(stop, F.col("seen")).otherwise(F.array_append("seen", F.col("on"))).alias("seen"), stop.alias("done")))
-    return settled.unionByName(walk.select("from_title", F.col("at").alias("final_title")))
+    ring = cut(ring)
+    before = ring.select(F.col("to_title").alias("at"), F.col("from_title").alias("final_title"))
+    # The first title of a cycle on each walk: titles of cycles stay where they are.
+    tails = known.filter("not settled").select("from_title").join(ring, "from_title", "left_anti").join(edges, "from_title")
+    walk = ring.select("from_title", F.col("from_title").alias("at"), F.lit(True).alias("inside")).unionByName(tails.select("from_title", F.col("to_title").alias("at"), F.lit(False).alias("inside")))
+    while walk.filter("not inside").head(1):
+        walk = cut(_jumped(walk, "inside"))
+    return done.unionByName(walk.join(before, "at").select("from_title", "final_title"))
 
 
 def canonical(df: DataFrame, resolved: DataFrame, title: str) -> DataFrame:

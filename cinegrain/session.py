@@ -35,11 +35,14 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is what ``spark.checkpoint.dir`` names; only where that is unset, as in tests, a folder is made and set.
+    It is what ``spark.checkpoint.dir`` names. Only where that is unset and all runs on one machine, as in tests, a
+    folder is made and set; on a cluster each executor would write to a disk of its own, so there it is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="cinegrain-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)

@@ -67,6 +67,29 @@ def test_redirects(spark):
     assert out["A"] == "C" and out["S"] == "C" and out["D"] == "G" and out["n0"] == "n70" and out["X"] == "X" and "P" not in out
 
 
+def walked(edges):
+    """Final titles by walking edge by edge, to the end or to before a repeat."""
+    first = {}
+    for a, b, o in sorted((e for e in edges if e[0] and e[1]), key=lambda e: (e[2], e[1])):
+        first.setdefault(a, b)
+    out = {}
+    for start in first:
+        at, seen = start, {start}
+        while at in first and first[at] not in seen:
+            at = first[at]
+            seen.add(at)
+        out[start] = at
+    return out
+
+
+def test_redirects_with_many_cycles(spark):
+    rng = random.Random(9)
+    edges = [(f"t{rng.randint(0, 400)}", f"t{rng.randint(0, 400)}", i) for i in range(500)] + [(f"c{i}", f"c{(i + 1) % 37}", i) for i in range(37)] + [(f"d{i}", f"d{i + 1}" if i < 50 else "c5", i) for i in range(51)]
+    out = resolve.resolve_titles(spark.createDataFrame(edges, "from_title string, to_title string, ord int")).collect()
+    assert {r[0]: r[1] for r in out} == walked(edges) and len(out) == len(walked(edges))
+    assert resolve.resolve_titles(spark.createDataFrame([], "from_title string, to_title string, ord int")).count() == 0
+
+
 def test_plans(spark):
     prev = spark.createDataFrame([(1, 10), (2, None), (4, 1)], "pageid long, revid long")
     cur = spark.createDataFrame([(1, 11), (2, None), (3, 5)], "pageid long, revid long")
