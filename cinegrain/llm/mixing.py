@@ -22,15 +22,32 @@ def tempered(natural: dict[str, float], target: dict[str, float], power: float)
     return {s: v / total for s, v in raw.items()}
 
 
-def plan_mixture(tokens: dict[str, int], weights: dict[str, float], repeats: dict[str, int], budget: int | None = None, least_share: float = 0.25) -> dict[str, dict]:
+def cross_entropy(target: dict[str, float], shares: dict[str, float]) -> float:
+    """Nats that records drawn by the target shares cost under the mixture's; the target's own entropy at the least."""
+    return -sum(t * math.log(shares[s]) for s, t in target.items())
+
+
+def _largest(ok, low: float = 0.0, high: float = 1.0) -> float:
+    """The largest power for which ``ok`` holds, by bisection; ``low`` if it holds for none above."""
+    if ok(high):
+        return high
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if ok(middle) else (low, middle)
+    return low
+
+
+def plan_mixture(tokens: dict[str, int], weights: dict[str, float], repeats: dict[str, int], budget: int | None = None, entropy_loss: float = 0.0) -> dict[str, dict]:
     """For each source: target and planned share, budget in tokens and repeats of the source.
 
-    Sources without tokens or weight take no part; the others' weights are relative. Without ``budget`` the mixture is
-    as large as it can be with every target share met and no source beyond its limit, and at most the size of the
-    sources. If that is less than ``least_share`` of the sources' tokens (a tiny source would starve all others), it
-    is of that size instead. Source shares are then exponentiated between the corpus' own and the target ones, and the
-    exponent is bisected to the largest, at most 1, that keeps every source within its limit. If even the corpus' own
-    shares do not, the budget is what the limits allow.
+    Sources without tokens or weight take no part; the others' weights are relative. Shares are exponentiated between
+    the corpus' own (power 0) and the target ones (power 1). Without ``budget`` the target entropy decides: if the
+    target shares can't be met with as many tokens as the sources have, the power is bisected to the least whose
+    cross-entropy with the target is at most ``entropy_loss`` nats above the target's own entropy (it falls as the
+    power rises), but not below what a mixture of that size needs; the mixture is then as large as the repetition
+    limits allow, and of the sources' size at most. With ``budget`` the repetition limits decide: the power is bisected
+    to the largest, at most 1, that keeps every source within its limit, and if even the corpus' own shares do not,
+    the budget is what the limits allow.
     """
     use = [s for s in sorted(weights) if tokens.get(s, 0) > 0 and weights[s] > 0 and repeats.get(s, 1) > 0]
     positive = sum(w for w in weights.values() if w > 0)
@@ -42,19 +59,16 @@ def plan_mixture(tokens: dict[str, int], weights: dict[str, float], repeats: dic
     wanted = sum(weights[s] for s in use)
     target = {s: weights[s] / wanted for s in use}
     limit = {s: repeats.get(s, 1) * tokens[s] for s in use}
+    within = lambda p, size: all(share * size <= limit[s] * (1 + 1e-9) for s, share in tempered(natural, target, p).items())
     if budget is None:
-        budget = int(min(own, min(limit[s] / target[s] for s in use)))
-        budget = max(budget, int(least_share * own))
-    budget = min(budget, sum(limit.values()))
-    fits = lambda p: all(share * budget <= limit[s] * (1 + 1e-9) for s, share in tempered(natural, target, p).items())
-    if fits(1.0):
-        power = 1.0
+        entropy = cross_entropy(target, target) + entropy_loss
+        # 1 less the largest loss of power that the target entropy allows.
+        least = 1 - _largest(lambda loss: cross_entropy(target, tempered(natural, target, 1 - loss)) <= entropy + 1e-12) if entropy_loss > 0 else 1.0
+        power = max(least, _largest(lambda p: within(p, own)))
+        budget = int(min(own, min(limit[s] / share for s, share in tempered(natural, target, power).items())))
     else:
-        low, high = 0.0, 1.0
-        for _ in range(60):
-            middle = (low + high) / 2
-            low, high = (middle, high) if fits(middle) else (low, middle)
-        power = low
+        budget = min(budget, sum(limit.values()))
+        power = _largest(lambda p: within(p, budget))
     shares = tempered(natural, target, power)
     for s, share in shares.items():
         size = min(int(round(share * budget)), limit[s])
@@ -62,50 +76,56 @@ def plan_mixture(tokens: dict[str, int], weights: dict[str, float], repeats: dic
     return plan
 
 
-def mixture_plans(spark: SparkSession, counted: DataFrame, targets: DataFrame, budget: int | None = None) -> DataFrame:
-    """(mix_id, source, target, share, budget, repeats, power, tokens) of every row of ``targets``.
+def mixture_plans(spark: SparkSession, counted: DataFrame, targets: DataFrame, budget: int | None = None, entropy_loss: float = 0.0) -> DataFrame:
+    """(mix_id, source, target, share, budget, repeats, power, tokens, documents) of every row of ``targets``.
 
     The tokens of each source are one sum over all documents; the plans are worked out on the driver from one number
     per named source, of which there may be MOST_SOURCES.
     """
     named = targets.filter("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(F.max(F.coalesce("weight", F.lit(0.0))).alias("weight"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("most"))
-    sizes = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    sizes = counted.filter("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"))
     rows = named.join(sizes, "source", "left").limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} named sources")
     out = []
     for mix in sorted({r["mix_id"] for r in rows}):
-        own = [r for r in rows if r["mix_id"] == mix]
-        tokens = {r["source"]: r["tokens"] or 0 for r in own}
-        for s, p in plan_mixture(tokens, {r["source"]: r["weight"] for r in own}, {r["source"]: r["most"] for r in own}, budget).items():
-            out.append((mix, s, p["target"], p["share"], p["budget"], float(p["repeats"]), p["power"], tokens[s]))
-    return spark.createDataFrame(out, "mix_id string, source string, target double, share double, budget long, repeats double, power double, tokens long")
+        own = {r["source"]: r for r in rows if r["mix_id"] == mix}
+        tokens = {s: r["tokens"] or 0 for s, r in own.items()}
+        for s, p in plan_mixture(tokens, {s: r["weight"] for s, r in own.items()}, {s: r["most"] for s, r in own.items()}, budget, entropy_loss).items():
+            out.append((mix, s, p["target"], p["share"], p["budget"], float(p["repeats"]), p["power"], tokens[s], own[s]["documents"] or 0))
+    return spark.createDataFrame(out, "mix_id string, source string, target double, share double, budget long, repeats double, power double, tokens long, documents long")
 
 
 def mix_documents(counted: DataFrame, plans: DataFrame, seed: int = 17) -> DataFrame:
     """(mix_id, source, doc_id, epoch, n_tokens): the documents of each mixture, ``epoch`` counting their uses from 1.
 
     Whole repeats take every document of the source once. The last, partial one takes documents in a random order up
-    to the budget: each source is cut into blocks by a hash, the blocks come in random order, and within a block the
-    documents do. Only block sums are ordered per source, some tens to thousands of rows; running sums over documents
-    stay within a block, so a source of any size is spread over its blocks. The document that would pass the budget
-    is the first left out, so a source's size falls short by less than a document.
+    to the budget: each source is cut into blocks of some BLOCK_DOCUMENTS by a hash, blocks into ranges, as many as a
+    range has blocks; ranges come in random order, so do the blocks of a range and the documents of a block. What is
+    before a document is the sum of three running sums, over ranges, blocks and documents, none of which orders more
+    than the square root of a source's blocks, or one block, in a task. The document that would pass the budget is the
+    first left out, so a source's size falls short by less than a document. The plans, MOST_SOURCES rows at most, are
+    the only thing broadcast.
 
     Defined cases: null sources and documents without tokens take part in no mixture; repeated rows count as often.
     """
-    docs = counted.filter("source is not null and n_tokens > 0")
-    size = docs.groupBy("source").agg(F.count("*").alias("n"))
-    part = docs.join(F.broadcast(size.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_DOCUMENTS))).select("source", "blocks")), "source")
-    live = F.broadcast(plans.filter("budget > 0").select("mix_id", "source", "budget", "tokens"))
-    use = part.join(live, "source")
-    block = F.pmod(F.xxhash64("doc_id", "mix_id", F.lit(seed)), F.col("blocks"))
-    use = use.select("mix_id", "source", "doc_id", "n_tokens", "budget", "tokens", block.alias("block"))
+    live = plans.filter("budget > 0").select("mix_id", "source", "budget", "tokens", F.ceil(F.col("documents") / BLOCK_DOCUMENTS).alias("blocks"))
+    docs = counted.filter("source is not null and n_tokens > 0").select("source", "doc_id", "n_tokens")
+    use = docs.join(F.broadcast(live), "source")
+    use = use.withColumn("block", F.pmod(F.xxhash64("doc_id", "mix_id", F.lit(seed)), F.col("blocks"))).withColumn("range", F.pmod(F.col("block"), F.ceil(F.sqrt("blocks"))))
+    use = use.select("mix_id", "source", "doc_id", "n_tokens", "budget", "tokens", "range", "block")
     full = F.floor(F.col("budget") / F.col("tokens")).cast("int")
     rest = F.col("budget") - F.floor(F.col("budget") / F.col("tokens")) * F.col("tokens")
-    sums = use.groupBy("mix_id", "source", "block").agg(F.sum("n_tokens").alias("sum"))
-    order = Window.partitionBy("mix_id", "source").orderBy(F.xxhash64("block", "mix_id", F.lit(seed + 1)), "block")
-    before = F.coalesce(F.sum("sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = use.join(sums.select("mix_id", "source", "block", before.alias("before")), ["mix_id", "source", "block"])
+
+    def before(by, own):
+        order = Window.partitionBy(*by).orderBy(F.xxhash64(own, "mix_id", F.lit(seed + 1)), own).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("sum").over(order), F.lit(0))
+
+    blocks = use.groupBy("mix_id", "source", "range", "block").agg(F.sum("n_tokens").alias("sum"))
+    ranges = blocks.groupBy("mix_id", "source", "range").agg(F.sum("sum").alias("sum"))
+    ranges = ranges.select("mix_id", "source", "range", before(["mix_id", "source"], "range").alias("before_range"))
+    blocks = blocks.select("mix_id", "source", "range", "block", before(["mix_id", "source", "range"], "block").alias("before_block"))
+    placed = use.join(blocks.join(ranges, ["mix_id", "source", "range"]).select("mix_id", "source", "block", (F.col("before_range") + F.col("before_block")).alias("before")), ["mix_id", "source", "block"])
     inner = Window.partitionBy("mix_id", "source", "block").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     taken = placed.withColumn("up_to", F.col("before") + F.sum("n_tokens").over(inner))
     uses = full + F.when(F.col("up_to") <= rest, 1).otherwise(0)

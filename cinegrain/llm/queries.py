@@ -16,9 +16,8 @@ from cinegrain.plans.registry import Registry
 from cinegrain.session import table, written
 
 REGISTRY = Registry()
-
-
-
+# What the mixtures may lose against their target shares, in nats, for the sake of their size.
+ENTROPY_LOSS = 0.02
 
 P3_SQL = r"""
 with recursive e as (
@@ -91,7 +90,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     counted = counted_once(count_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source"]))
-    plans = mixture_plans(spark, counted, table(spark, sf_dir, "mix_targets"))
+    plans = mixture_plans(spark, counted, table(spark, sf_dir, "mix_targets"), entropy_loss=ENTROPY_LOSS)
     return mix_documents(counted, plans), plans
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cinegrain.llm.components import connected_groups
 from cinegrain.llm.matching import match_records, nearest_pairs, part_of, result_terms, terms_of, title_terms
-from cinegrain.llm.mixing import actual_shares, mix_documents, mixture_plans, plan_mixture
+from cinegrain.llm.mixing import actual_shares, cross_entropy, mix_documents, mixture_plans, plan_mixture
 from cinegrain.llm.names import _distances_to, coded, name_parts, radius_pairs, same_person, within_one
 
 
@@ -154,11 +154,31 @@ def test_pruning_is_exact(spark):
 def test_plans():
     plan = plan_mixture({"a": 1000, "b": 100}, {"a": 1.0, "b": 1.0, "none": 1.0}, {"a": 2, "b": 4, "none": 9})
     assert plan["none"]["budget"] == 0 and abs(plan["a"]["share"] - 0.5) < 1e-6 and plan["b"]["repeats"] <= 4
-    tight = plan_mixture({"a": 10_000, "b": 10}, {"a": 1.0, "b": 1.0}, {"a": 1, "b": 2})
+    tight = plan_mixture({"a": 10_000, "b": 10}, {"a": 1.0, "b": 1.0}, {"a": 1, "b": 2}, budget=10_010)
     assert tight["b"]["budget"] == 20 and 0 < tight["b"]["power"] < 1 and tight["a"]["budget"] + tight["b"]["budget"] >= 2000
     assert plan_mixture({}, {"a": 1.0}, {"a": 1})["a"]["budget"] == 0
 
 
+def test_target_entropy():
+    tokens, weights, most = {"a": 4000, "b": 900, "c": 100}, {"a": 1.0, "b": 1.0, "c": 1.0}, {"a": 2, "b": 2, "c": 4}
+    exact, near = plan_mixture(tokens, weights, most), plan_mixture(tokens, weights, most, entropy_loss=0.02)
+    target = dict.fromkeys(tokens, 1 / 3)
+    loss = cross_entropy(target, {s: p["share"] for s, p in near.items()}) - cross_entropy(target, target)
+    assert exact["c"]["power"] == 1 and sum(p["budget"] for p in exact.values()) == pytest.approx(1200, abs=2)
+    assert loss == pytest.approx(0.02, abs=1e-6) and 0 < near["c"]["power"] < 1
+    assert near["c"]["budget"] == 400 and sum(p["budget"] for p in near.values()) > 1300
+    # Where the target can be met at full size, it is.
+    assert plan_mixture(tokens, weights, {"a": 9, "b": 9, "c": 99}, entropy_loss=0.02)["a"]["share"] == pytest.approx(1 / 3)
+
+
+def test_expected_shares(spark):
+    counted = spark.createDataFrame([(i, s, 10) for i, s in enumerate(["a"] * 60 + ["b"] * 30 + ["c"] * 10)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("m", "a", 2.0, 1), ("m", "b", 1.0, 1), ("m", "c", 1.0, 2), ("m", "d", 1.0, 2)], "mix_id string, source string, weight double, max_repeats int")
+    plans = mixture_plans(spark, counted, targets)
+    got = {r["source"]: (r["target_share"], r["planned_share"], r["actual_share"], r["n_tokens"], r["n_documents"], r["repeats"]) for r in actual_shares(mix_documents(counted, plans), plans).collect()}
+    assert got == {"a": (0.4, 0.5, 0.5, 400, 40, pytest.approx(2 / 3)), "b": (0.2, 0.25, 0.25, 200, 20, pytest.approx(2 / 3)), "c": (0.2, 0.25, 0.25, 200, 20, 2.0), "d": (0.2, 0.0, 0.0, 0, 0, 0.0)}
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     docs = [(i, s, rng.randint(1, 50)) for i, s in enumerate(["a"] * 5000 + ["b"] * 200 + ["c"] * 800)] + [(9000, None, 5), (9001, "a", 0)]
