@@ -1,8 +1,9 @@
 """A bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-Texts are first put into a one-byte code page: letters without case, by script, and one blank for everything else, so
-that a character of any script is one step. The network reads chunks of fixed length in both directions and gives each
-position the probabilities of the languages.
+A step reads the UTF-8 bytes of one letter together: each byte brings its own vector for its place among them, so a
+letter of any script is one step, letters whose first bytes agree share these, and no script is named anywhere. Case is
+dropped, and what is no letter or mark is one blank. The network reads chunks of fixed length in both directions and
+gives each position the probabilities of the languages.
 """
 
 from __future__ import annotations
@@ -14,38 +15,23 @@ import numpy as np
 
 CHUNK = 64
 BLANK = 0
-# Scripts of the code page: (first code point, code points, first byte). Other letters share the bytes left over.
-_PAGES = [(0x0900, 80, 70), (0x0980, 60, 150), (0x0B80, 42, 210)]
-_OTHER = (253, 3)
-
-
-def _code(point: int) -> int:
-    for first, n, at in _PAGES:
-        if first <= point < first + 0x80:
-            return at + (point - first) * n // 0x80 if point - first >= n else at + point - first
-    c = chr(point)
-    if c.isalpha():
-        low = c.lower()[0]
-        if "a" <= low <= "z":
-            return 1 + ord(low) - 97
-        base = unicodedata.normalize("NFD", low)
-        if "a" <= base[0] <= "z" and len(base) > 1:
-            return 27 + (ord(base[0]) * 7 + ord(base[1])) % 43
-        return _OTHER[0] + point % _OTHER[1] if point > 0x24F else 27 + point % 43
-    return BLANK
-
-
-_LOW = np.array([_code(p) for p in range(0x3000)], np.uint8)
+PLACES = 4  # bytes of a letter in UTF-8, at most
+_POINTS = 0x110000
+# Whether a code point is a letter or mark, worked out when first met: 2 is not yet known.
+_LETTER = np.full(_POINTS, 2, np.uint8)
 
 
 def to_bytes(text: str) -> np.ndarray:
-    """The text in the code page, runs of blanks as one."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = _LOW[np.minimum(points, 0x2FFF)]
-    high = points >= 0x3000
-    if high.any():
-        codes[high] = [_code(int(p)) for p in points[high]]
-    keep = codes != BLANK
+    """The letters of a text without case, each a code point that stands for its bytes; runs of others as one blank."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    known = _LETTER[points]
+    if (known == 2).any():
+        for p in np.unique(points[known == 2]):
+            _LETTER[p] = unicodedata.category(chr(p))[0] in "LM"
+        known = _LETTER[points]
+    keep = known == 1
+    codes = np.where(keep, points, BLANK).astype(np.uint32)
+    keep = keep.copy()
     keep[1:] |= codes[:-1] != BLANK
     return codes[keep]
 
@@ -53,7 +39,7 @@ def to_bytes(text: str) -> np.ndarray:
 def to_chunks(codes: np.ndarray) -> np.ndarray:
     """Rows of CHUNK codes; the last is filled by blanks. A text shorter than two chunks may have a single row."""
     n = max(1, -(-len(codes) // CHUNK))
-    out = np.zeros(n * CHUNK, np.uint8)
+    out = np.zeros(n * CHUNK, np.uint32)
     out[: len(codes)] = codes
     return out.reshape(n, CHUNK)
 
@@ -77,7 +63,7 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 
 class ByteGru:
-    """Weights for both directions: ``x`` (bytes to gates), ``u`` (state to gates), and ``v``, ``c`` to languages.
+    """Weights for both directions: ``x`` (bytes by place to gates), ``u`` (state to gates), ``v``, ``c`` to languages.
 
     Gates use rational squashing, s(x) = x / (1 + |x|), in place of logistic and hyperbolic tangent; the recurrence is
     that of a gated recurrent unit.
@@ -89,14 +75,49 @@ class ByteGru:
         h, f32 = hidden, np.float32
         self.w = {}
         for d in "fb":
-            self.w[f"x{d}"] = (rng.standard_normal((256, 3 * h)) * 0.5).astype(f32)
+            self.w[f"x{d}"] = (rng.standard_normal((PLACES * 256, 3 * h)) * 0.5).astype(f32)
             self.w[f"u{d}"] = (rng.standard_normal((h, 3 * h)) * (0.8 / np.sqrt(h))).astype(f32)
         self.w["v"] = (rng.standard_normal((2 * h, len(languages))) * 0.3).astype(f32)
         self.w["c"] = np.zeros(len(languages), f32)
+        self._read = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_read": None}
+
+    @staticmethod
+    def letters(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct letters of coded texts as rows of ``x`` (-1 where a letter has fewer bytes), and each one's place."""
+        found, at = np.unique(codes, return_inverse=True)
+        rows = np.full((len(found), PLACES), -1, np.int64)
+        for i, p in enumerate(found):
+            own = chr(p).encode("utf-8", "surrogatepass")
+            rows[i, : len(own)] = [256 * k + b for k, b in enumerate(own)]
+        return rows, at.reshape(codes.shape)
+
+    def _summed(self, rows: np.ndarray, d: str) -> np.ndarray:
+        """Per letter the sum of its bytes' vectors."""
+        return (self.w[f"x{d}"][rows] * (rows >= 0)[:, :, None].astype(np.float32)).sum(axis=1)
+
+    def _known(self, codes: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Codes as columns of a table of summed vectors that grows as letters are met, and the table per direction."""
+        if self._read is None:
+            self._read = (np.full(_POINTS, -1, np.int32), {d: np.empty((3 * self.hidden, 0), np.float32) for d in "fb"})
+        slot, tables = self._read
+        at = slot[codes]
+        if (at < 0).any():
+            fresh = np.unique(codes[at < 0])
+            rows, _ = self.letters(fresh)
+            slot[fresh] = tables["f"].shape[1] + np.arange(len(fresh))
+            for d in "fb":
+                tables[d] = np.ascontiguousarray(np.hstack([tables[d], self._summed(rows, d).T]))
+            at = slot[codes]
+        return at, tables
 
-    def _run(self, chunks: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
+    def _run(self, chunks: np.ndarray, d: str, keep: list | None = None, read: tuple | None = None) -> np.ndarray:
+        """States of a direction; ``read`` is what ``letters`` gives for the chunks."""
         h = self.hidden
-        x, u = self.w[f"x{d}"], self.w[f"u{d}"]
+        rows, chunks = read or self.letters(chunks)
+        x, u = self._summed(rows, d), self.w[f"u{d}"]
         state = np.zeros((len(chunks), h), np.float32)
         out = np.empty((chunks.shape[1], len(chunks), h), np.float32)
         steps = range(chunks.shape[1]) if d == "f" else range(chunks.shape[1] - 1, -1, -1)
@@ -123,11 +144,11 @@ class ByteGru:
         v = self.w["v"]
         return self._run(chunks, "f") @ v[:h] + self._run(chunks, "b") @ v[h:] + self.w["c"]
 
-    def _states(self, codes: np.ndarray, d: str):
+    def _states(self, codes: np.ndarray, x: np.ndarray, d: str):
         """(step, state) in the order of a direction; states are (hidden, chunks), so that each gate is one stretch of
         memory. The same recurrence as ``_run``, in buffers that are used again."""
         h, (steps, m) = self.hidden, codes.shape
-        x, u = np.ascontiguousarray(self.w[f"x{d}"].T), np.ascontiguousarray(self.w[f"u{d}"].T)
+        u = np.ascontiguousarray(self.w[f"u{d}"].T)
         a, g, spare = (np.empty((3 * h, m), np.float32) for _ in range(3))
         state = np.zeros((h, m), np.float32)
         gates, room, n, room_n = a[: 2 * h], spare[: 2 * h], a[2 * h :], spare[2 * h :]
@@ -157,13 +178,13 @@ class ByteGru:
         c = self.w["c"][:, None]
         sums, letters = np.zeros((len(chunks), n_langs), np.float32), (chunks != BLANK).sum(axis=1)
         for at in range(0, len(chunks), block):
-            codes = np.ascontiguousarray(chunks[at : at + block].T)
+            mask = np.ascontiguousarray(chunks[at : at + block].T) != BLANK
+            codes, tables = self._known(np.ascontiguousarray(chunks[at : at + block].T))
             scores = np.empty((codes.shape[0], n_langs, codes.shape[1]), np.float32)
-            for t, state in self._states(codes, "f"):
+            for t, state in self._states(codes, tables["f"], "f"):
                 np.matmul(vf, state, out=scores[t])
             total, more = np.zeros(scores.shape[1:], np.float32), np.empty(scores.shape[1:], np.float32)
-            mask = codes != BLANK
-            for t, state in self._states(codes, "b"):
+            for t, state in self._states(codes, tables["b"], "b"):
                 s = scores[t]
                 s += np.matmul(vb, state, out=more)
                 s += c
@@ -178,7 +199,8 @@ class ByteGru:
         """Mean loss per letter and the gradients of all weights, by backpropagation through time."""
         h, w = self.hidden, self.w
         kept = {"f": [], "b": []}
-        out = {d: self._run(chunks, d, kept[d]) for d in "fb"}
+        letters, places = self.letters(chunks)
+        out = {d: self._run(chunks, d, kept[d], (letters, places)) for d in "fb"}
         s = out["f"] @ w["v"][:h] + out["b"] @ w["v"][h:] + w["c"]
         s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
@@ -191,7 +213,7 @@ class ByteGru:
         ds[:, rows, labels] -= 1
         ds *= (mask / total)[:, :, None]
         flat = ds.reshape(-1, ds.shape[2])
-        codes = chunks.T.reshape(-1)
+        codes = places.T.reshape(-1)
         order = np.argsort(codes, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
         grads = {"c": flat.sum(axis=0), "v": np.vstack([out[d].reshape(-1, h).T @ flat for d in "fb"])}
@@ -214,12 +236,17 @@ class ByteGru:
                 du += state.T @ dg
                 carried = dh * z + dg @ u.T
             grads[f"u{d}"] = du
-            grads[f"x{d}"] = np.zeros_like(w[f"x{d}"])  # summed by byte
-            grads[f"x{d}"][codes[order][starts]] = np.add.reduceat(da.reshape(-1, 3 * h)[order], starts, axis=0)
+            # Summed by letter, then by the bytes letters share.
+            by_letter = np.add.reduceat(da.reshape(-1, 3 * h)[order], starts, axis=0)
+            grads[f"x{d}"] = np.zeros_like(w[f"x{d}"])
+            for k in range(PLACES):
+                has = letters[:, k] >= 0
+                np.add.at(grads[f"x{d}"], letters[has, k], by_letter[has])
         return loss, grads
 
     def train(self, chunks: np.ndarray, labels: np.ndarray, steps: int = 300, batch: int = 256, rate: float = 0.02, seed: int = 11) -> None:
         """Adam with a falling rate over shuffled batches."""
+        self._read = None
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         q = {k: np.zeros_like(v) for k, v in self.w.items()}

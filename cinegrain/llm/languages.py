@@ -27,19 +27,20 @@ def label_code(label: Column) -> Column:
     return F.coalesce(F.try_element_at(names, head), F.when(head.rlike("^[a-z]{2}$") & (head != "xx"), head))
 
 
-def training_chunks(docs: DataFrame, key: str, text: str, label: str, per_language: int, per_document: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+def training_chunks(docs: DataFrame, key: str, text: str, label: str, per_language: int, per_document: int, least_documents: int = 3) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, chunks, label numbers) of about ``per_language`` labelled documents of each language.
 
-    Documents are taken by a hash of their key, at most ``per_document`` chunks from anywhere in a text; what comes to
-    the driver is bounded by languages times per_language times per_document chunks of CHUNK bytes, twice at most.
+    Every code with at least ``least_documents`` labelled texts is a language; a code has two letters, so there are 676
+    at most. Documents are taken by a hash of their key, at most ``per_document`` chunks from anywhere in a text; what
+    comes to the driver is bounded by languages times per_language times per_document chunks of CHUNK letters, twice at
+    most.
     """
     coded = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), label_code(F.col(label)).alias("code")).filter(f"code is not null and length(trim(text)) >= {CHUNK // 2}")
-    counts = {r["code"]: r["count"] for r in coded.groupBy("code").count().orderBy(F.desc("count"), "code").limit(64).collect()}
-    counts = {c: n for c, n in counts.items() if n >= max(3, 0.001 * sum(counts.values()))}
+    counts = {r["code"]: r["count"] for r in coded.groupBy("code").count().filter(F.col("count") >= least_documents).collect()}
     if not counts:
-        return [], np.zeros((0, CHUNK), np.uint8), np.zeros(0, np.int64)
-    share = F.coalesce(*[F.when(F.col("code") == c, F.lit(min(1.0, per_language / n))) for c, n in counts.items()], F.lit(0.0))
-    taken = coded.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < share * 1_000_003)
+        return [], np.zeros((0, CHUNK), np.uint32), np.zeros(0, np.int64)
+    shares = F.create_map(*[F.lit(x) for c, n in sorted(counts.items()) for x in (c, min(1.0, per_language / n))])
+    taken = coded.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < F.try_element_at(shares, F.col("code")) * 1_000_003)
 
     def run(batches):
         for batch in batches:
@@ -47,7 +48,7 @@ def training_chunks(docs: DataFrame, key: str, text: str, label: str, per_langua
             for k, t, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 chunks = to_chunks(to_bytes(t))
                 chunks = chunks[(chunks != 0).sum(axis=1) >= CHUNK // 4]
-                rng = np.random.default_rng(abs(hash(str(k))) % 2**31 if k is None else int(k) % 2**31)
+                rng = np.random.default_rng(0 if k is None else int(k) % 2**31)
                 rows += [(c, int(k or 0), x.tobytes()) for x in chunks[rng.permutation(len(chunks))[:per_document]]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["code", "key", "chunk"])
 
@@ -55,7 +56,7 @@ def training_chunks(docs: DataFrame, key: str, text: str, label: str, per_langua
     rows = sorted(taken.select(F.col("key").cast("long"), "text", "code").mapInArrow(run, "code string, key long, chunk binary").limit(most).collect())
     languages = sorted(counts)
     number = {c: i for i, c in enumerate(languages)}
-    chunks = np.frombuffer(b"".join(bytes(r["chunk"]) for r in rows), np.uint8).reshape(-1, CHUNK)
+    chunks = np.frombuffer(b"".join(bytes(r["chunk"]) for r in rows), np.uint32).reshape(-1, CHUNK)
     return languages, chunks, np.array([number[r["code"]] for r in rows], np.int64)
 
 

@@ -8,7 +8,7 @@ import pytest
 from cinegrain.llm.cleaning import page_differences, shared_lines, text_elements
 from cinegrain.llm.elements import dialect, elements
 from cinegrain.llm.language_model import ByteGru, paragraphs, to_bytes, to_chunks
-from cinegrain.llm.languages import label_code, label_languages
+from cinegrain.llm.languages import label_code, label_languages, training_chunks
 from cinegrain.llm.tokenize import DEFAULT_VOCABULARY, ByteBpe, count_tokens, encode_corpus, read_ranks
 
 WIKI = """{{Infobox film|name=A|starring=* B}}
@@ -188,6 +188,32 @@ def test_languages(spark):
     assert label_languages(df.limit(0)).count() == 0
 
 
+# Common words; none of these languages is among those of the test tables.
+OTHER_WORDS = {
+    "ru": "фильм был снят режиссёром который рассказал историю старой реки и людей живущих там этот вечер после", "uk": "фільм був знятий режисером який розповів історію старої річки та людей що живуть там цей вечір після",
+    "ar": "الفيلم من إخراج رجل يحكي قصة النهر القديم والناس الذين يعيشون هناك في هذا المساء بعد ذلك", "te": "ఈ చిత్రం పాత నది కథ చెబుతుంది ప్రజలు పాటలు పాడుతూ అక్కడ నివసిస్తారు మరియు సాయంత్రం తర్వాత", "el": "η ταινία αφηγείται την ιστορία του παλιού ποταμού και των ανθρώπων που ζουν εκεί αυτό το βράδυ μετά",
+}
+
+
+def test_languages_of_other_scripts(spark):
+    """Held out: texts without label are told by what was learned from those with one."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(OTHER_WORDS[lang].split()) for _ in range(14)), lang if i % 3 else None, lang) for i in range(450) for lang in [rng.choice(list(OTHER_WORDS))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, truth string")
+    main = {r["doc_id"]: r["lang"] for r in label_languages(df, per_language=60, per_document=4, hidden=8, steps=200).collect() if r["seg"] == 0}
+    for lang in OTHER_WORDS:
+        held = [main[i] == lang for i, _, given, truth in rows if given is None and truth == lang]
+        assert len(held) > 15 and sum(held) >= 0.9 * len(held), lang
+
+
+def test_many_and_rare_languages(spark):
+    codes = [a + b for a in "abcdefghi" for b in "abcdefghij"]
+    rows = [(i, (f"{c}x{c}z " * 20), c) for i, c in enumerate(codes * 3)] + [(1000, "qq " * 30, "qq"), (1001, "qq " * 30, "qq")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert training_chunks(df, "doc_id", "text", "lang", 5, 2)[0] == sorted(codes)
+    assert "qq" in training_chunks(df, "doc_id", "text", "lang", 5, 2, least_documents=2)[0]
+
+
 def test_label_codes(spark):
     labels = ["EN", " en-IN", "pt_BR", "हिन्दी", "und", "", None, "unknown", "mul", "xx", "Deutsch", "es-419"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, l string")
