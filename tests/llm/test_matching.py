@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cinegrain.llm.components import connected_groups
 from cinegrain.llm.matching import match_records, nearest_pairs, part_of, result_terms, terms_of, title_terms
 from cinegrain.llm.mixing import actual_shares, cross_entropy, mix_documents, mixture_plans, plan_mixture
-from cinegrain.llm.names import _distances_to, coded, name_parts, radius_pairs, same_person, within_one
+from cinegrain.llm.names import _distances_to, coded, levenshtein_to, name_parts, radius_pairs, same_person, within_one
 
 
 def find(parent, x):
@@ -79,6 +79,46 @@ def test_name_parts(name, parts):
     assert name_parts(name) == parts
 
 
+def lev(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_levenshtein_by_bits():
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
+    names = [word(rng.randint(1, 12)) for _ in range(40)] + [word(70), word(130), "a"]
+    pivots = [word(rng.randint(1, 12)) for _ in range(12)] + [word(64), word(65), word(140)]
+    d = levenshtein_to(names, pivots)
+    assert all(d[i, j] == lev(a, b) for i, a in enumerate(names) for j, b in enumerate(pivots))
+
+
+def test_distinct_letters_are_apart():
+    assert _distances_to(["a"], ["\u015c"])[0, 0] == 1 and levenshtein_to(["a"], ["\u015c"])[0, 0] == 1
+
+
+def grouped(pairs, n):
+    parent = list(range(n + 1))
+    for a, b in pairs:
+        parent[find(parent, b)] = find(parent, a)
+    return [find(parent, i) for i in range(n + 1)]
+
+
+def test_first_names_of_one_letter_stay_apart(spark):
+    rows = [("Amit Shah", None)] * 3 + [("Anita Shah", None)] * 2 + [("Ajay Shah", None), ("A. Shah", None), ("Bill Smith", None), ("William Smith", None), ("B. Sol", None), ("Bela Sol", None)]
+    rows += [(f"{x} {last}", f"William {last}") for last in ("Rove", "Tark", "Undel") for x in ("William", "William", "Bill")]
+    rows += [(f"{x} {last}", f"{first} {last}") for first, last in (("Zelul", "Marp"), ("Dreolo", "Visk"), ("Weneth", "Quod")) for x in (first, first, first[:3] + "i")] + [("Zeli Hentuvot", None), ("Zelul Hentuvot", None)]
+    df = spark.createDataFrame([(i + 1, n, w) for i, (n, w) in enumerate(rows)], "entry_id long, name string, wikititle string")
+    got = grouped((tuple(r) for r in same_person(df).collect()), len(rows))
+    first = {n: i + 1 for i, (n, w) in reversed(list(enumerate(rows))) if w is None}
+    assert len({got[first[n]] for n in ("Amit Shah", "Anita Shah", "Ajay Shah", "A. Shah")}) == 4
+    assert got[first["Bill Smith"]] == got[first["William Smith"]] and got[first["B. Sol"]] == got[first["Bela Sol"]] and got[first["Zeli Hentuvot"]] == got[first["Zelul Hentuvot"]]
+
+
 def test_same_person(spark):
     rows = [("Corovan Ludbojir", "Corovan Ludbojir")] * 5 + [("Ludbojir, Corovan", None), ("Corovan Ldbojir", None), ("C. Ludbojir", None), ("COROVAN LUDBOJIR", "Corovan_Ludbojir"), ("Dr. Corovan Ludbojir", None)]
     rows += [("Ana Mivek", "Ana Mivek (actress)"), ("Ana Mivek", "Ana Mivek (singer)"), ("Elin Torbek", None), (None, "X"), ("", None), ("  ", None)] + [("Corovan Zad", None), ("Elin Pos", None), ("Ana Rov", None)]
