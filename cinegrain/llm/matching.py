@@ -15,10 +15,11 @@ from cinegrain.session import cut, written
 # ISO codes of the language names the catalogue uses.
 LANGUAGE_CODES = {"hindi": "hi", "tamil": "ta", "bengali": "bn", "marathi": "mr", "english": "en", "spanish": "es", "french": "fr", "portuguese": "pt", "german": "de", "telugu": "te", "malayalam": "ml", "kannada": "kn", "punjabi": "pa", "gujarati": "gu"}
 # Endings that make a title another part of a story.
-_PART = re.compile(r"\s+(?:(?:part|chapter|volume|vol)\s+)?(\d{1,2}|ii|iii|iv|v|vi|vii|viii|ix|x|returns|again|reloaded|forever)\s*$")
-_ROMAN = {"ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
-# Weights of the kinds of terms beside their rarity.
-WEIGHTS = {"t": 1.0, "w": 1.0, "d": 0.12, "p": 1.0, "i": 0.5, "n": 0.3, "y": 0.8, "m": 0.6, "x": 0.8, "l": 0.5}
+_PART = re.compile(r"\s+(?:(?:part|chapter|volume|vol)\s+)?(\d{1,2}|ii|iii|iv|v|vi|vii|viii|ix|x|two|thre|four|five|six|seven|eight|nine|ten|returns|again|reloaded|forever)\s*$")
+_NUMBERS = {"ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10", "two": "2", "thre": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10"}
+# Weights of the kinds of terms beside their rarity; those of a date are y, m and x.
+WEIGHTS = {"t": 1.0, "w": 1.0, "d": 0.12, "a": 1.0, "p": 1.0, "i": 0.5, "n": 0.3, "y": 0.8, "m": 0.6, "x": 0.8, "l": 0.5}
+DATED = "ymx"
 K1, B = 1.2, 0.3
 
 
@@ -36,7 +37,7 @@ def part_of(title: str) -> tuple[str, str]:
     m = _PART.search(title)
     if not m or not title[: m.start()].strip():
         return title.strip(), "1"
-    return title[: m.start()].strip(), _ROMAN.get(m[1], m[1])
+    return title[: m.start()].strip(), _NUMBERS.get(m[1], m[1])
 
 
 def person_keys(name: str) -> tuple[str, str]:
@@ -57,9 +58,9 @@ def terms_of(title: str, year, date: str, people: list[str], languages: list[str
     words = [w for w in re.findall(r"\w+", base) if w not in ("and", "the", "a", "an")] or re.findall(r"\w+", base)
     whole = "".join(words)
     terms = {f"t:{whole}"} | {f"w:{w}" for w in words}
-    for w in [*words, whole]:
-        if len(w) >= 5:
-            terms |= {f"d:{w[:i]}{w[i + 1 :]}" for i in range(len(w))} | {f"d:{w}"}
+    if len(whole) >= 5:  # two titles but for one slip share one of these at least
+        terms |= {f"d:{whole[:i]}{whole[i + 1 :]}" for i in range(len(whole))} | {f"d:{whole}"}
+    terms.add(f"a:{part}")
     full, short = zip(*(person_keys(p) for p in people)) if people else ((), ())
     terms |= {f"p:{p}" for p in full if p} | {f"i:{p}" for p in short if p} | {f"n:{w}" for p in full for w in p.split() if len(w) > 1}
     date = date or ""
@@ -73,7 +74,7 @@ def terms_of(title: str, year, date: str, people: list[str], languages: list[str
     return {"part": part, "words": words, "year": year, "date": date, "people": [p for p in full if p], "initials": [p for p in short if p], "terms": sorted(t for t in terms if len(t) > 2)}
 
 
-_SCHEMA = "id long, block string, words array<string>, year int, date string, people array<string>, initials array<string>, terms array<string>"
+_SCHEMA = "id long, block string, part string, words array<string>, year int, date string, people array<string>, initials array<string>, terms array<string>"
 
 
 def _year(*values) -> int | None:
@@ -94,7 +95,7 @@ def _plain(raw: str) -> list[str]:
 
 
 def title_terms(titles: DataFrame) -> DataFrame:
-    """Records of the title table, one per pageid."""
+    """Records of the title table, one per pageid: of rows that differ the greatest."""
 
     def run(frames):
         for frame in frames:
@@ -108,15 +109,17 @@ def title_terms(titles: DataFrame) -> DataFrame:
                 if not date and (m := re.search(r"\|\s*(\d{4})\s*\|\s*(\d{1,2})\s*\|\s*(\d{1,2})", params.get("released") or "")):
                     date = f"{m[1]}-{int(m[2]):02}-{int(m[3]):02}"
                 found = terms_of(r.title or re.sub(r"\s*\([^()]*\)\s*$", "", r.wikititle or ""), _year(date, r.year, re.search(r"\(([^()]*)\)\s*$", r.wikititle or "") and re.search(r"\(([^()]*)\)\s*$", r.wikititle)[1]), date, people, languages)
-                out.append((r.pageid, f"{r.kind}|{found['part']}", *[found[k] for k in ("words", "year", "date", "people", "initials", "terms")]))
+                out.append((r.pageid, r.kind, *[found[k] for k in ("part", "words", "year", "date", "people", "initials", "terms")]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _SCHEMA.split(", ")]).astype({"year": "Int32"})
 
-    once = titles.filter("pageid is not null").select("pageid", "kind", "title", "wikititle", "releasedate", "year", "language", "directedby", "params").dropDuplicates(["pageid"])
+    columns = ["kind", "title", "wikititle", "releasedate", "year", "language", "directedby", "params"]
+    rows = titles.filter("pageid is not null").select("pageid", *columns, F.array_sort(F.map_entries("params")).alias("sorted"))
+    once = rows.groupBy("pageid").agg(F.max_by(F.struct(*columns), F.struct(*[c for c in columns if c != "params"], "sorted")).alias("r")).select("pageid", "r.*")
     return once.mapInPandas(run, _SCHEMA)
 
 
 def result_terms(results: DataFrame) -> DataFrame:
-    """Records of the search results, one per id; a film has a title, a series a name."""
+    """Records of the search results, one per id (of rows that differ the greatest); a film has a title, a series a name."""
 
     def run(frames):
         for frame in frames:
@@ -125,10 +128,11 @@ def result_terms(results: DataFrame) -> DataFrame:
                 film = r.title is not None and r.title == r.title and r.title != ""
                 date = (r.release_date if film else r.first_air_date) or r.release_date or r.first_air_date or ""
                 found = terms_of((r.title if film else r.name) or "", _year(date), date, [r.director] if r.director else [], [r.original_language] if r.original_language else [])
-                out.append((r.id, f"{'movie' if film else 'series'}|{found['part']}", *[found[k] for k in ("words", "year", "date", "people", "initials", "terms")]))
+                out.append((r.id, "movie" if film else "series", *[found[k] for k in ("part", "words", "year", "date", "people", "initials", "terms")]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _SCHEMA.split(", ")]).astype({"year": "Int32"})
 
-    once = results.filter("id is not null").select("id", "title", "name", "release_date", "first_air_date", "original_language", "director").dropDuplicates(["id"])
+    once = results.filter("id is not null").select("id", "title", "name", "release_date", "first_air_date", "original_language", "director")
+    once = once.groupBy("id").agg(F.max(F.struct(*once.columns[1:])).alias("r")).select("id", "r.*")
     return once.mapInPandas(run, _SCHEMA)
 
 
@@ -139,48 +143,51 @@ def _weight(term: Column) -> Column:
 
 def _exploded(records: DataFrame) -> DataFrame:
     terms = records.select("id", "block", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    return terms.select("id", "n", F.xxhash64("block", "term").alias("h"), _weight(F.col("term")).alias("kind_weight"))
+    return terms.select("id", "n", F.xxhash64("block", "term").alias("h"), _weight(F.col("term")).alias("kind_weight"), F.substring("term", 1, 1).isin(*DATED).alias("dated"))
 
 
-def nearest_pairs(queries: DataFrame, index: DataFrame, share: float = 0.25, margin: float = 10.0) -> DataFrame:
-    """(q, d, score, self) of every pair that may be its query's best match or within ``margin`` of it.
+def nearest_pairs(queries: DataFrame, index: DataFrame, k: int = 4) -> DataFrame:
+    """(q, d, score, dated, self, self_dated): the ``k`` best records of each query, and more where some tie.
 
-    BM25 over all terms of the records' own block, by an inverted index, exactly pruned. A pair counts from a
-    threshold: ``share`` of the query's score with itself, and at least 1.5 ln N, as ln N is the evidence that singles
-    out one of N records. Terms of a query whose scores together stay below it can't bring a pair over it alone: those
-    with the least score for their frequency are set aside so, and only the other, rarer terms are joined with the
-    index (MaxScore); frequent terms, which may be in a third of all rows, are never joined. Variants of a word are
-    terms only if they are rare (in a thousandth of the index at most), for those of common words tell nothing. A pair is then dropped when its score so far, with all its query's remaining terms, stays
-    ``margin`` below the score another pair of the query has already. Only the pairs left are scored in full.
+    BM25 over all terms of the records of one block, by an inverted index, exactly pruned to the best ``k``. The score
+    must be ln N at least: that is the evidence that singles out one of N records, and with less a pair is likelier
+    chance than not. Terms of a query whose scores together stay below it can't bring a pair over it alone: those with
+    the least score for their frequency are set aside so, and only the other, rarer terms are joined with the index
+    (MaxScore); frequent terms, which may be in a third of all rows, are never joined. A pair is then dropped when its
+    score so far, with all its query's remaining terms, stays below what ``k`` other pairs of the query have already.
+    Only the pairs left are scored in full. ``dated`` and ``self_dated`` are the parts that terms of dates have in the
+    score and in the query's score with itself.
     """
     postings = written(_exploded(index).select(F.col("id").alias("d"), "n", "h"), "postings")
     size = index.agg(F.count("*").alias("n_all"), F.avg(F.size("terms")).alias("mean"))
     n_all, mean = size.first()
     if not n_all:
-        return queries.select(F.col("id").alias("q"), F.col("id").alias("d"), F.lit(0.0).alias("score"), F.lit(0.0).alias("self")).limit(0)
+        zero = [F.lit(0.0).alias(c) for c in ("score", "dated", "self", "self_dated")]
+        return queries.select(F.col("id").alias("q"), F.col("id").alias("d"), *zero).limit(0)
+    least = float(np.log(n_all + 1.0))
     norm = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("n") / mean))
     most = (K1 + 1) / (1 + K1 * (1 - B))
     frequency = postings.groupBy("h").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n_all - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    telling = (F.col("kind_weight") != WEIGHTS["d"]) | (F.col("df") <= max(5, n_all // 1000))
-    terms = _exploded(queries).join(frequency, "h").filter(telling).select(F.col("id").alias("q"), "h", "df", (F.col("kind_weight") * idf).alias("w"))
+    terms = _exploded(queries).join(frequency, "h").select(F.col("id").alias("q"), "h", "df", "dated", (F.col("kind_weight") * idf).alias("w"))
     by_query = Window.partitionBy("q")
     rising = by_query.orderBy(F.col("w") / F.col("df"), "h").rowsBetween(Window.unboundedPreceding, 0)
-    terms = terms.select("q", "h", "w", F.sum("w").over(rising).alias("below"), F.sum("w").over(by_query).alias("self"))
-    least = F.greatest(share * F.col("self"), F.lit(float(1.5 * np.log(n_all + 1.0))))
-    terms = written(terms.withColumn("least", least).withColumn("essential", F.col("below") * most >= F.col("least")), "query-terms")
-    frequent = terms.filter("not essential").groupBy("q").agg(F.sum("w").alias("rest"), F.collect_list(F.struct("h", "w")).alias("rest_terms"))
+    of_date = F.when(F.col("dated"), F.col("w")).otherwise(0.0)
+    terms = terms.select("q", "h", "w", of_date.alias("v"), F.sum("w").over(rising).alias("below"), F.sum("w").over(by_query).alias("self"), F.sum(of_date).over(by_query).alias("self_dated"))
+    terms = written(terms.filter(F.col("self") * most >= least).withColumn("essential", F.col("below") * most >= least), "query-terms")
+    frequent = terms.filter("not essential").groupBy("q").agg(F.sum("w").alias("rest"), F.collect_list(F.struct("h", "w", "v")).alias("rest_terms"))
 
-    hits = terms.filter("essential").join(postings, "h").select("q", "d", (F.col("w") * norm).alias("s"), "self", "least")
-    partial = hits.repartition("q").groupBy("q", "d").agg(F.sum("s").alias("s"), F.first("self").alias("self"), F.first("least").alias("least"))
+    hits = terms.filter("essential").join(postings, "h").select("q", "d", (F.col("w") * norm).alias("s"), (F.col("v") * norm).alias("v"), "self", "self_dated")
+    partial = hits.repartition("q").groupBy("q", "d").agg(F.sum("s").alias("s"), F.sum("v").alias("v"), F.first("self").alias("self"), F.first("self_dated").alias("self_dated"))
     partial = partial.join(frequent.select("q", "rest"), "q", "left").withColumn("most", F.col("s") + F.coalesce("rest", F.lit(0.0)) * most)
-    best = F.max("s").over(by_query)
-    left = cut(partial.withColumn("best", best).filter((F.col("most") >= F.col("least")) & (F.col("most") >= F.col("best") - margin)).select("q", "d", "s", "self", "least"))
+    kth = F.coalesce(F.nth_value("s", k).over(by_query.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0.0))
+    left = cut(partial.filter(F.col("most") >= least).withColumn("kth", kth).filter(F.col("most") >= F.col("kth") - 1e-9).select("q", "d", "s", "v", "self", "self_dated"))
     held = index.select(F.col("id").alias("d"), F.size("terms").alias("n"), F.transform("terms", lambda t: F.xxhash64("block", t)).alias("hs"))
     full = left.join(frequent.select("q", "rest_terms"), "q", "left").join(held, "d")
-    shared = F.filter(F.coalesce("rest_terms", F.array().cast("array<struct<h:bigint,w:double>>")), lambda x: F.array_contains("hs", x["h"]))
-    more = F.aggregate(shared, F.lit(0.0), lambda a, x: a + x["w"])
-    return full.select("q", "d", (F.col("s") + more * norm).alias("score"), "self", "least").filter("score >= least").drop("least")
+    shared = F.filter(F.coalesce("rest_terms", F.array().cast("array<struct<h:bigint,w:double,v:double>>")), lambda x: F.array_contains("hs", x["h"]))
+    more = lambda c: F.aggregate(shared, F.lit(0.0), lambda a, x: a + x[c])
+    scored = full.select("q", "d", (F.col("s") + more("w") * norm).alias("score"), (F.col("v") + more("v") * norm).alias("dated"), "self", "self_dated").filter(F.col("score") >= least)
+    return scored.withColumn("place", F.rank().over(by_query.orderBy(F.desc("score")))).filter(F.col("place") <= k).drop("place")
 
 
 def _likeness(a: Column, b: Column) -> Column:
@@ -191,62 +198,126 @@ def _likeness(a: Column, b: Column) -> Column:
     return F.when(squashed, 1.0).otherwise(rest)
 
 
-def fits() -> Column:
-    """The exact check: whether two records can be one work by title, people and year.
+# How the dates of two records agree, from best to worst.
+DATE_LEVELS = ["day", "month", "year", "next year", "apart", "unknown"]
 
-    Kind and part agree already, since terms are of a block. Known people must meet (in full, with initials or but for
-    a slip); the year may then differ by one, as a date slipped. Without known people the years must agree, or, with
-    none known, the titles.
-    """
+
+def _date_level() -> Column:
+    q, d, apart = F.col("q_date"), F.col("d_date"), F.abs(F.col("q_year") - F.col("d_year"))
+    return (
+        F.when(apart.isNull(), "unknown").when(apart > 1, "apart").when(apart == 1, "next year")
+        .when((F.length(q) == 10) & (q == d), "day").when((F.length(q) >= 7) & (F.length(d) >= 7) & (F.substring(q, 1, 7) == F.substring(d, 1, 7)), "month").otherwise("year")
+    )
+
+
+def _people_meet() -> Column:
+    """Whether people of both records meet: in full, with initials, or but for a slip; null where a side has none."""
     same = (
         F.arrays_overlap("q_people", "d_people")
         | F.arrays_overlap("q_initials", "d_people")
         | F.arrays_overlap("q_people", "d_initials")
         | F.exists("q_people", lambda p: F.exists("d_people", lambda r: (F.length(p) >= 8) & (F.levenshtein(p, r) <= 2)))
     )
-    known = (F.size("q_people") > 0) & (F.size("d_people") > 0)
-    apart = F.abs(F.col("q_year") - F.col("d_year"))
-    return F.when(known, F.coalesce(same, F.lit(False)) & (F.col("alike") >= 0.5) & F.coalesce(apart <= 1, F.lit(True))).otherwise(
-        F.when(apart.isNotNull(), (apart == 0) & (F.col("alike") >= 0.6)).otherwise(F.col("alike") >= 0.95)
-    )
+    return F.when((F.size("q_people") > 0) & (F.size("d_people") > 0), F.coalesce(same, F.lit(False)))
+
 
+# What the logistic calibration reads of a pair; nothing of it comes from a date.
+FEATURES = ["gap", "part_of_self", "alike", "same_title", "other_part", "people_meet", "people_differ"]
 
-def match_records(queries: DataFrame, index: DataFrame, calibration_rows: int = 5000) -> DataFrame:
-    """(d, q, score, gap, confidence) of the mutually nearest pairs that pass the exact check.
 
-    The nearest record is the one with the highest score (the smaller id in a tie) of those that pass the check, for
-    the query and for the indexed record. ``gap`` is the score less that of the query's best other record, or of its
-    threshold where no other comes near. Confidence is a logistic function of gap and share of the query's own score,
-    fitted on at most ``calibration_rows`` queries' best pairs, labelled by whether they pass the check.
+def candidate_pairs(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(q, d, score, plain, FEATURES, level, both_dated) of each query's best pairs; see ``nearest_pairs``.
+
+    ``plain`` is the score without what dates have in it.
+
+    ``gap`` is the score without dates less that of the query's best other record, at most 30 either way, or the whole
+    score where there is no other.
+    """
+    side = lambda df, p: df.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("words", "part", "year", "date", "people", "initials")])
+    found = nearest_pairs(queries, index).withColumn("plain", F.col("score") - F.col("dated"))
+    of_q = Window.partitionBy("q").orderBy(F.desc("plain"), "d")
+    top, second = F.first("plain").over(of_q), F.nth_value("plain", 2).over(of_q.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    gap = F.when(F.row_number().over(of_q) == 1, F.col("plain") - F.coalesce(second, F.lit(0.0))).otherwise(F.col("plain") - top)
+    full = found.withColumn("gap", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), gap))).join(side(queries, "q"), "q").join(side(index, "d"), "d")
+    full = full.withColumn("alike", _likeness(F.col("q_words"), F.col("d_words"))).withColumn("meet", _people_meet())
+    share = F.col("plain") / F.greatest(F.col("self") - F.col("self_dated"), F.lit(1e-9))
+    yes = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    return full.select(
+        "q", "d", "score", "plain", "gap", share.alias("part_of_self"), "alike", yes(F.array_join("q_words", "") == F.array_join("d_words", "")).alias("same_title"), yes(F.col("q_part") != F.col("d_part")).alias("other_part"),
+        yes(F.col("meet")).alias("people_meet"), yes(~F.col("meet")).alias("people_differ"), _date_level().alias("level"), ((F.length("q_date") == 10) & (F.length("d_date") == 10)).alias("both_dated"),
+    )
+
+
+class Calibration:
+    """What makes a confidence of a pair: logistic weights, the share of labels seen, and odds of the levels of dates.
+
+    The labels don't come from any rule on the pair: of pairs whose dates are both known to the day, those of one day
+    are works found again, since two works seldom share it; so only pairs count that are found without their dates. Some
+    dates differ for one work, so only a share c of the matches is labelled: P(one day | features) is c times a logistic
+    function of features that know no date. A first regression on the labels gives c, its mean over the labelled pairs
+    (Elkan and Noto 2008); then a pair without label is a match as likely as c and the function say, and the function is
+    fitted to that, in turn. How likely a match, or another
+    pair, is at each level of agreement of the dates is then counted over all pairs, weighted by their confidence, until
+    it stands still; these odds multiply. A pair that dates alone have found has less evidence in its other terms than
+    singles out one of N records, and its odds are held to that.
+    """
+
+    def __init__(self, sample: pd.DataFrame, rounds: int = 20):
+        x = np.column_stack([np.ones(len(sample)), sample[FEATURES].to_numpy(float)]) if len(sample) else np.zeros((0, len(FEATURES) + 1))
+        seen = sample["both_dated"].to_numpy(bool)
+        label = (sample["level"] == "day").to_numpy()[seen].astype(float)
+        logistic = lambda w: 1 / (1 + np.exp(-np.clip(x[seen] @ w, -30, 30)))
+        self.weights = _logistic(x[seen], label)
+        self.share = float(np.clip(logistic(self.weights)[label > 0].mean(), 0.05, 0.99)) if label.any() else 1.0
+        for _ in range(rounds if label.any() else 0):
+            found = logistic(self.weights)
+            self.weights = _logistic(x[seen], np.where(label > 0, 1.0, found * (1 - self.share) / (1 - self.share * found)))
+        plain = np.clip(1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))), 1e-6, 1 - 1e-4)
+        level = sample["level"].map(DATE_LEVELS.index).to_numpy(int) if len(sample) else np.zeros(0, int)
+        odds, match = np.zeros(len(DATE_LEVELS)), plain
+        for _ in range(rounds):
+            yes, no = (np.bincount(level, w, len(DATE_LEVELS)) + 0.5 for w in (match, 1 - match))
+            odds = np.log(yes / yes.sum()) - np.log(no / no.sum())
+            match = 1 / (1 + np.exp(-np.clip(np.log(plain / (1 - plain)) + odds[level], -30, 30)))
+        self.odds = dict(zip(DATE_LEVELS, odds.tolist()))
+
+    def confidence(self, evidence: float) -> Column:
+        """The confidence; its odds without dates are at most what the score has above ``evidence``, ln N."""
+        z = sum((float(w) * F.col(c) for w, c in zip(self.weights[1:], FEATURES)), F.lit(float(self.weights[0])))
+        plain = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-4), 1 / (1 + F.exp(-z))))
+        odds = F.coalesce(*[F.when(F.col("level") == k, F.lit(v)) for k, v in self.odds.items()])
+        return 1 / (1 + F.exp(-(F.least(F.log(plain / (1 - plain)), F.col("plain") - evidence) + odds)))
+
+
+def match_records(queries: DataFrame, index: DataFrame, calibration_rows: int = 20_000, least: float = 0.5) -> DataFrame:
+    """(d, q, score, gap, confidence) of the mutually nearest pairs with a confidence of ``least`` or more.
+
+    The nearest record is the one with the highest confidence, then score (then the smaller id), for the query and for
+    the indexed record. ``gap`` is the score without dates less that of the query's best other record. The confidence
+    is calibrated (``Calibration``) on at most ``calibration_rows`` of the pairs that reach ln N without their dates,
+    taken by a hash; it alone decides.
 
     Defined cases: records without title have few terms and match only by people and date; empty sides give no rows;
-    repeated rows count once; ties go to the smaller id.
+    repeated rows count once; without any pair of days nothing is known, and no pair comes out.
     """
-    side = lambda df, p: df.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("words", "year", "people", "initials")])
-    found = nearest_pairs(queries, index)
-    full = found.join(side(queries, "q"), "q").join(side(index, "d"), "d").withColumn("alike", _likeness(F.col("q_words"), F.col("d_words")))
-    of_q = Window.partitionBy("q").orderBy(F.desc("score"), "d")
-    top, second = F.first("score").over(of_q), F.nth_value("score", 2).over(of_q.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    place = F.row_number().over(of_q)
-    gap = F.when(place == 1, F.col("score") - F.coalesce(second, F.col("self") * 0.25)).otherwise(F.col("score") - top)
-    pairs = cut(full.select("q", "d", "score", (F.col("score") / F.greatest("self", F.lit(1e-9))).alias("part"), gap.alias("gap"), place.alias("place"), F.coalesce(fits(), F.lit(False)).alias("ok")))
-    w = _fitted(pairs.filter("place = 1").orderBy(F.xxhash64("q", "d")).select("gap", "part", "ok").limit(calibration_rows).toPandas())
-    of_d = Window.partitionBy("d").orderBy(F.desc("score"), "q")
-    ranked = pairs.filter("ok").select("*", F.row_number().over(of_q).alias("at_q"), F.row_number().over(of_d).alias("at_d"))
-    z = w[0] + w[1] * F.col("gap") + w[2] * F.col("part")
-    return ranked.filter("at_q = 1 and at_d = 1").select("d", "q", "score", "gap", (1 / (1 + F.exp(-z))).alias("confidence"))
-
-
-def _fitted(sample: pd.DataFrame, steps: int = 25) -> list[float]:
-    """Weights (one, gap, part) of a slightly damped logistic regression by Newton's method."""
-    if sample.empty:
-        return [0.0, 0.0, 0.0]
-    x = np.column_stack([np.ones(len(sample)), sample["gap"], sample["part"]]).astype(float)
-    y = sample["ok"].to_numpy(float) * 0.98 + 0.01
+    pairs = cut(candidate_pairs(queries, index))
+    evidence = float(np.log(index.count() + 1.0))
+    model = Calibration(pairs.filter(F.col("plain") >= evidence).orderBy(F.xxhash64("q", "d")).select(*FEATURES, "level", "both_dated").limit(calibration_rows).toPandas())
+    sure = pairs.select("d", "q", "score", "gap", model.confidence(evidence).alias("confidence")).filter(F.col("confidence") >= least)
+    best = [F.desc("confidence"), F.desc("score")]
+    ranked = sure.select("*", F.row_number().over(Window.partitionBy("q").orderBy(*best, "d")).alias("at_q"), F.row_number().over(Window.partitionBy("d").orderBy(*best, "q")).alias("at_d"))
+    return ranked.filter("at_q = 1 and at_d = 1").select("d", "q", "score", "gap", "confidence")
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 30) -> np.ndarray:
+    """Weights of a slightly damped logistic regression by Newton's method; few rows leave the first one low."""
+    n = x.shape[1]
+    if not len(x):
+        return np.array([-30.0] + [0.0] * (n - 1))
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
     x = x / scale
-    w = np.zeros(3)
+    w = np.zeros(n)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), x.T @ (p - y) + 1e-2 * w)
-    return [float(v) for v in w / scale]
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(n), x.T @ (p - y) + 1e-2 * w)
+    return w / scale
