@@ -21,6 +21,7 @@ _NUMBERS = {"ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "
 WEIGHTS = {"t": 1.0, "w": 1.0, "d": 0.12, "a": 1.0, "p": 1.0, "i": 0.5, "n": 0.3, "y": 0.8, "m": 0.6, "x": 0.8, "l": 0.5}
 DATED = "ymx"
 K1, B = 1.2, 0.3
+RARE = 64  # records that a term may be in to be joined alone
 
 
 def folded(text: str | None) -> str:
@@ -151,12 +152,15 @@ def nearest_pairs(queries: DataFrame, index: DataFrame, k: int = 4) -> DataFrame
 
     BM25 over all terms of the records of one block, by an inverted index, exactly pruned to the best ``k``. The score
     must be ln N at least: that is the evidence that singles out one of N records, and with less a pair is likelier
-    chance than not. Terms of a query whose scores together stay below it can't bring a pair over it alone: those with
-    the least score for their frequency are set aside so, and only the other, rarer terms are joined with the index
-    (MaxScore); frequent terms, which may be in a third of all rows, are never joined. A pair is then dropped when its
-    score so far, with all its query's remaining terms, stays below what ``k`` other pairs of the query have already.
-    Only the pairs left are scored in full. ``dated`` and ``self_dated`` are the parts that terms of dates have in the
-    score and in the query's score with itself.
+    chance than not. Terms of a query whose scores together stay below it can't bring a pair over it alone: the most
+    frequent ones, which may be in a third of all rows, are set aside so and never joined (MaxScore). Of the others,
+    those in RARE records at most are joined with the index. The rest are frequent too, and a pair that no rare term
+    finds has two of the terms not joined, of which the scarcer one and all that are more frequent reach the least
+    score, and still do with the second and what is more frequent than that; so they are joined by such twos, with an
+    index of the twos of frequent terms of each record. A pair is then dropped when its score so far, with all its
+    query's remaining terms, stays below what ``k`` other pairs of the query have already. Only the pairs left are
+    scored in full. ``dated`` and ``self_dated`` are the parts that terms of dates have in the score and in the query's
+    score with itself.
     """
     postings = written(_exploded(index).select(F.col("id").alias("d"), "n", "h"), "postings")
     size = index.agg(F.count("*").alias("n_all"), F.avg(F.size("terms")).alias("mean"))
@@ -171,17 +175,30 @@ def nearest_pairs(queries: DataFrame, index: DataFrame, k: int = 4) -> DataFrame
     idf = F.log(1 + (n_all - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = _exploded(queries).join(frequency, "h").select(F.col("id").alias("q"), "h", "df", "dated", (F.col("kind_weight") * idf).alias("w"))
     by_query = Window.partitionBy("q")
-    rising = by_query.orderBy(F.col("w") / F.col("df"), "h").rowsBetween(Window.unboundedPreceding, 0)
+    rising = by_query.orderBy(F.col("df") <= RARE, F.col("w") / F.col("df"), "h").rowsBetween(Window.unboundedPreceding, 0)
     of_date = F.when(F.col("dated"), F.col("w")).otherwise(0.0)
-    terms = terms.select("q", "h", "w", of_date.alias("v"), F.sum("w").over(rising).alias("below"), F.sum("w").over(by_query).alias("self"), F.sum(of_date).over(by_query).alias("self_dated"))
-    terms = written(terms.filter(F.col("self") * most >= least).withColumn("essential", F.col("below") * most >= least), "query-terms")
-    frequent = terms.filter("not essential").groupBy("q").agg(F.sum("w").alias("rest"), F.collect_list(F.struct("h", "w", "v")).alias("rest_terms"))
-
-    hits = terms.filter("essential").join(postings, "h").select("q", "d", (F.col("w") * norm).alias("s"), (F.col("v") * norm).alias("v"), "self", "self_dated")
-    partial = hits.repartition("q").groupBy("q", "d").agg(F.sum("s").alias("s"), F.sum("v").alias("v"), F.first("self").alias("self"), F.first("self_dated").alias("self_dated"))
-    partial = partial.join(frequent.select("q", "rest"), "q", "left").withColumn("most", F.col("s") + F.coalesce("rest", F.lit(0.0)) * most)
+    terms = terms.select("q", "h", "w", "df", of_date.alias("v"), F.sum("w").over(rising).alias("below"), F.sum("w").over(by_query).alias("self"), F.sum(of_date).over(by_query).alias("self_dated"))
+    alone = (F.col("below") * most >= least) & ((F.col("df") <= RARE) | (F.col("w") * most >= least))
+    terms = terms.filter(F.col("self") * most >= least).withColumn("alone", alone)
+    terms = written(terms.withColumn("below", F.sum(F.when(F.col("alone"), 0.0).otherwise(F.col("w"))).over(rising)), "query-terms")
+    frequent = terms.filter("not alone").groupBy("q").agg(F.sum("w").alias("rest"), F.collect_list(F.struct("h", "w", "v")).alias("rest_terms"))
+
+    first = terms.filter("not alone").groupBy("q").agg(F.collect_list(F.struct("h", "w", "below")).alias("u"), F.first("self").alias("self"), F.first("self_dated").alias("self_dated"))
+    reach = lambda x: x * most >= least * (1 - 1e-9)
+    of_two = lambda x, y: F.xxhash64(F.least(x["h"], y["h"]), F.greatest(x["h"], y["h"]))
+    twos = F.flatten(F.transform(F.filter("u", lambda j: reach(j["below"])), lambda j: F.transform(F.filter("u", lambda i: (i["below"] < j["below"]) & reach(j["w"] + i["below"])), lambda i: F.struct(of_two(i, j).alias("h"), (i["w"] + j["w"]).alias("w")))))
+    wanted = first.select("q", "self", "self_dated", F.explode(twos).alias("t")).select("q", F.col("t.h").alias("h"), F.col("t.w").alias("w"), "self", "self_dated")
+    heavy = postings.join(frequency.filter(F.col("df") > RARE), "h").groupBy("d").agg(F.first("n").alias("n"), F.array_sort(F.collect_set("h")).alias("hs"))
+    pairs = F.flatten(F.transform("hs", lambda x, i: F.transform(F.slice("hs", i + 2, F.size("hs")), lambda y: F.xxhash64(x, y))))
+    both = heavy.select("d", "n", F.explode(pairs).alias("h")).join(wanted.select("h").distinct(), "h", "left_semi")
+
+    zero = F.lit(0.0)
+    single = terms.filter("alone").join(postings, "h").select("q", "d", (F.col("w") * norm).alias("s"), (F.col("v") * norm).alias("v"), zero.alias("two"), "self", "self_dated")
+    double = wanted.join(both, "h").select("q", "d", zero.alias("s"), zero.alias("v"), (F.col("w") * norm).alias("two"), "self", "self_dated")
+    partial = single.unionByName(double).groupBy("q", "d").agg(F.sum("s").alias("found"), F.sum("v").alias("v"), F.max("two").alias("two"), F.first("self").alias("self"), F.first("self_dated").alias("self_dated"))
+    partial = partial.join(frequent.select("q", "rest"), "q", "left").withColumn("most", F.col("found") + F.coalesce("rest", zero) * most).withColumn("s", F.col("found") + F.col("two"))
     kth = F.coalesce(F.nth_value("s", k).over(by_query.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0.0))
-    left = cut(partial.filter(F.col("most") >= least).withColumn("kth", kth).filter(F.col("most") >= F.col("kth") - 1e-9).select("q", "d", "s", "v", "self", "self_dated"))
+    left = cut(partial.filter(F.col("most") >= least).withColumn("kth", kth).filter(F.col("most") >= F.col("kth") - 1e-9).select("q", "d", F.col("found").alias("s"), "v", "self", "self_dated"))
     held = index.select(F.col("id").alias("d"), F.size("terms").alias("n"), F.transform("terms", lambda t: F.xxhash64("block", t)).alias("hs"))
     full = left.join(frequent.select("q", "rest_terms"), "q", "left").join(held, "d")
     shared = F.filter(F.coalesce("rest_terms", F.array().cast("array<struct<h:bigint,w:double,v:double>>")), lambda x: F.array_contains("hs", x["h"]))

@@ -166,8 +166,10 @@ def test_matching(spark):
     assert match_records(result_terms(r), title_terms(t.limit(0))).count() == 0
 
 
-def test_pruning_is_exact(spark):
+@pytest.mark.parametrize("rare", [64, 2, 0])
+def test_pruning_is_exact(spark, monkeypatch, rare):
     """The best four records of every query, by full scores over all pairs and all terms."""
+    monkeypatch.setattr("cinegrain.llm.matching.RARE", rare)  # the fewer are joined alone, the more by twos
     from cinegrain.llm.matching import B, K1, WEIGHTS
 
     t, r = works(spark, 60)
