@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from urllib.parse import quote
 
 # Templates that stand for a sign, and the entities that are resolved.
 SIGNS = {"inr": "₹", "usd": "US$", "indian rupee": "₹", "₹": "₹", "tba": "TBA", "tabletba": "TBA"}
@@ -99,10 +99,9 @@ def plain(raw: str | None) -> str:
     text = re.sub(r"<ref[^>]*>.*?</ref>", "", text, flags=re.DOTALL | re.IGNORECASE)
     text = re.sub(r"<ref[^>]*/>", "", text, flags=re.IGNORECASE)
     text = re.sub(r"\[\[(?:File|Image|Media):[^\]]*\]\]", "", text, flags=re.IGNORECASE)
-    for _ in range(20):
+    n = 1
+    while n:  # each round resolves the innermost braces, of which there are ever fewer
         text, n = _INNERMOST.subn(_template_text, text)
-        if not n:
-            break
     text = re.sub(r"\[\[([^\[\]|]+)(?:\|([^\[\]]*))?\]\]", lambda m: (m[2] or "").strip() or m[1].strip(), text)
     text = re.sub(r"\[(?:https?:)?//[^\s\]]+[ \t]*([^\]]*)\]", r"\1", text)
     for marks in ("'''''", "'''", "''"):
@@ -161,6 +160,40 @@ def plot_section(text: str | None) -> str | None:
     return next((own[t] for t in PLOT_TITLES if t in own), None)
 
 
+# Sections that are shown elsewhere or only lead on.
+NO_ARTICLE = re.compile(
+    r"^(?:references?|external links?|see also|notes?|citations?|further reading|bibliography|sources?|footnotes?|gallery|trivia|plots?|plot (?:summary|synopsis)|premise|synops(?:is|es)|story|cast(?: and (?:characters|crew))?|main cast|principal cast"
+    r"|recurring|guest|cameo appearances|voice cast|episodes?|series overview|season \d+|soundtracks?|music|music \(album\)|songs?|soundtrack album|marketing|promotion|\d+)$",
+    re.IGNORECASE,
+)
+
+
+def article_sections(text: str | None, least: int = 60) -> list[dict]:
+    """(title, text) of the sections with prose of their own, without list signs; texts shorter than ``least`` are none."""
+    out = []
+    for s in sections(text):
+        title = s["title"].strip()
+        body = "" if NO_ARTICLE.match(title) else re.sub(r"^[#*:;]+\s*", "", plain(s["body"]), flags=re.MULTILINE).strip()
+        if len(body) >= least:
+            out.append({"title": title[:1].upper() + title[1:], "text": body})
+    return out
+
+
+# Facts of a person's infobox and their labels.
+PERSON_FACTS = {
+    "birth_name": "Birth name", "birth_date": "Born", "birth_place": "Birthplace", "death_date": "Died", "death_place": "Place of death", "occupation": "Occupation", "years_active": "Years active", "nationality": "Nationality",
+    "citizenship": "Citizenship", "spouses": "Spouse(s)", "partner": "Partner(s)", "children": "Children", "parents": "Parents", "relatives": "Relatives", "alma_mater": "Alma mater", "education": "Education", "awards": "Awards",
+    "known_for": "Known for", "height": "Height", "home_town": "Home town", "other_names": "Other names", "genres": "Genres", "instruments": "Instruments", "labels": "Labels", "notable_works": "Notable works",
+}
+
+
+def person_facts(text: str | None) -> list[dict]:
+    """(label, value) of the facts an infobox states, in their fixed order; dates are read out."""
+    box = infobox(text) or {}
+    said = ((label, date_text(box[key]) if key.endswith("_date") else ", ".join(list_items(box[key]))) for key, label in PERSON_FACTS.items() if box.get(key))
+    return [{"label": label, "value": value} for label, value in said if value]
+
+
 _NAMESPACE = re.compile(r"^\s*:?(?:file|image|media|category|wikipedia|template|portal|help|special|draft|module|user|wikt|wiktionary|commons)\s*:", re.IGNORECASE)
 
 
@@ -174,10 +207,15 @@ def wiki_links(text: str | None) -> list[dict]:
     return [{"target": t, "label": x} for t, x in out.items()]
 
 
+def lead_markup(text: str | None) -> str:
+    """What stands before the first heading, as it is."""
+    m = _HEADING.search(text or "")
+    return (text or "")[: m.start()] if m else text or ""
+
+
 def lead(text: str | None) -> str:
     """The text before the first heading."""
-    m = _HEADING.search(text or "")
-    return plain((text or "")[: m.start()] if m else text)
+    return plain(lead_markup(text))
 
 
 def date_text(raw: str | None) -> str:
@@ -190,26 +228,59 @@ def date_text(raw: str | None) -> str:
     return re.sub(r"\s+", " ", plain(raw)).strip()
 
 
-@lru_cache(maxsize=1)
-def _external():
-    return {"imdb title": "IMDb", "rotten tomatoes": "Rotten Tomatoes", "metacritic film": "Metacritic", "bollywood hungama movie": "Bollywood Hungama", "mojo title": "Box Office Mojo", "tcmdb title": "TCM", "afi film": "AFI", "letterboxd title": "Letterboxd", "allmovie": "AllMovie", "netflix title": "Netflix", "facebook": "Facebook", "youtube": "YouTube"}
+# Link templates in the order they are read, with label, address and the parameters that may fill it.
+LINK_TEMPLATES = [
+    (r"netflix (?:title|show)", "Netflix", "https://www.netflix.com/title/{}", ("1", "id")),
+    (r"instagram", "Instagram", "https://www.instagram.com/{}", ("1", "user", "username")),
+    (r"twitter|x", "X (Twitter)", "https://twitter.com/{}", ("1", "user", "username")),
+    (r"facebook", "Facebook", "https://www.facebook.com/{}", ("1", "user", "username")),
+    (r"youtube", "YouTube", "https://www.youtube.com/{}", ("1", "channel")),
+    (r"youtube channel", "YouTube", "https://www.youtube.com/channel/{}", ("1",)),
+    (r"rotten tomatoes", "Rotten Tomatoes", "https://www.rottentomatoes.com/m/{}", ("1", "id")),
+    (r"spotify artist", "Spotify", "https://open.spotify.com/artist/{}", ("1",)),
+    (r"bollywood hungama person|bh person", "Bollywood Hungama", "https://www.bollywoodhungama.com/person/{}/", ("1",)),
+    (r"bollywood hungama (?:movie|film)", "Bollywood Hungama", "https://www.bollywoodhungama.com/movie/{}/", ("1",)),
+    (r"rotten tomatoes person", "Rotten Tomatoes", "https://www.rottentomatoes.com/celebrity/{}", ("1", "id")),
+    (r"wikiquote", "Wikiquote", "https://en.wikiquote.org/wiki/{}", ("1",)),
+]
+HANDLES = ("Instagram", "X (Twitter)", "YouTube")  # an @ before a name isn't part of the address
+
+
+def _filled(template: dict, label: str, address: str, keys: tuple[str, ...]) -> str | None:
+    value = next((v for k in keys if (v := template["params"].get(k))), None)
+    if value is None or (label == "YouTube" and re.match(r"https?:", value)):
+        return value
+    if label == "Wikiquote":
+        value = quote(value.replace(" ", "_"), safe="!'()*~")
+    return address.format(value.removeprefix("@") if label in HANDLES else value)
 
 
 def external_links(text: str | None) -> dict:
-    """(imdbid, official, links): ids and addresses of a page's external links."""
+    """(imdbid, official, links): the digits of the IMDb id, the official address, and labelled addresses.
+
+    Links come from templates, their addresses built from the ids, then from URL templates, then from bullets with an
+    outside link; the first of an address counts, and the official one is not among them.
+    """
     text = text or ""
-    found = templates(text, r"^imdb (?:title|name)$")
-    imdb = None
-    if found:
-        raw = found[0]["params"].get("id") or found[0]["params"].get("1") or ""
-        prefix = "nm" if found[0]["name"].lower().endswith("name") else "tt"
-        imdb = raw if raw.startswith(prefix) else prefix + raw if raw else None
-    official = next((t["params"].get("url") or t["params"].get("1") for t in templates(text, r"^(?:official website|official|url)$")), None)
-    links = [{"label": _external()[t["name"].lower()], "url": t["params"].get("id") or t["params"].get("1")} for t in templates(text, "^(?:" + "|".join(_external()) + ")$")]
-    for m in re.finditer(r"^\s*\*\s*\[((?:https?:)?//\S+)\s+([^\]]+)\]", text, re.MULTILINE):
-        links.append({"label": plain(m[2]), "url": m[1]})
-    seen: set[str] = set()
-    return {"imdbid": imdb, "official": official, "links": [x for x in links if x["url"] and not (x["url"] in seen or seen.add(x["url"]))]}
+    imdb = re.search(r"\{\{\s*imdb\s*(?:title|name)\s*\|[^}]*?(?:id\s*=\s*)?(?:tt|nm)?(\d{5,10})", text, re.IGNORECASE)
+    official = re.search(r"\{\{\s*official(?:\s+website|\s+url)?\s*\|\s*(?:(?:url|1)\s*=\s*)?(https?://[^\s|}]+)", text, re.IGNORECASE)
+    found: dict[str, str] = {}
+    for name, label, address, keys in LINK_TEMPLATES:
+        for t in templates(text, f"^(?:{name})$"):
+            if url := _filled(t, label, address, keys):
+                found.setdefault(url, label)
+    host = lambda url: re.sub(r"^(?:https?:)?//(?:www\.)?", "", url)
+    for t in templates(text, "^url$"):
+        url = next((t["params"][k] for k in ("1", "id", "url") if k in t["params"]), "")
+        if re.match(r"https?://", url, re.IGNORECASE):
+            found.setdefault(url, plain(t["params"].get("2")) or host(url).split("/")[0])
+    for line in re.findall(r"^[ \t]*\*[ \t]*(.+)$", text, re.MULTILINE):
+        if m := re.search(r"\[((?:https?:)?//[^\s\]]+)(?:[ \t]+([^\]]*))?\]", line):
+            label = re.sub(r"[|*]", "", plain(line.replace(m[0], m[2] or "", 1))).strip()
+            found.setdefault(m[1], label or re.sub("^https?://", "", m[1]))
+    if official:
+        found.pop(official[1], None)
+    return {"imdbid": imdb[1] if imdb else None, "official": official[1] if official else None, "links": [{"label": label, "url": url} for url, label in found.items()]}
 
 
 def references(text: str | None) -> list[dict]:

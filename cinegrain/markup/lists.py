@@ -5,9 +5,36 @@ from __future__ import annotations
 import re
 
 from cinegrain.markup.core import list_items, plain, sections, templates, wiki_links
+from cinegrain.markup.honours import awards  # noqa: F401
 from cinegrain.markup.tables import find_tables, read_table
 
-CREW_FIELDS = {"director": "Director", "creator": "Creator", "producer": "Producer", "executive_producer": "Executive producer", "writer": "Writer", "screenwriter": "Writer", "story": "Writer", "starring": "Cast", "music": "Composer", "cinematography": "Cinematographer", "editor": "Editor", "editing": "Editor"}
+# Labels of crew fields; others are their words with capitals.
+ROLE_LABELS = {
+    "director": "Director", "creator": "Creator", "producer": "Producer", "executive_producer": "Executive producer", "writer": "Writer", "screenwriter": "Writer", "story": "Writer", "starring": "Cast", "cast": "Cast", "music": "Music", "composer": "Composer",
+    "theme_music_composer": "Music", "cinematography": "Cinematographer", "editor": "Editor", "choreographer": "Choreographer", "lyricist": "Lyricist", "singer": "Singer", "production_designer": "Production designer", "art_director": "Art director",
+    "costume_designer": "Costume designer", "makeup_artist": "Makeup artist", "stunt_coordinator": "Stunt coordinator", "action_director": "Action director", "dialogue": "Writer", "screenplay": "Writer", "based_on": "Based on", "narrator": "Narrator", "presenter": "Presenter",
+}
+# Targets of crew fields that are no persons: languages, countries, channels and services, studios.
+NON_PERSONS = {
+    "hindi", "tamil", "telugu", "kannada", "malayalam", "marathi", "bengali", "punjabi", "gujarati", "odia", "oriya", "assamese", "english", "urdu", "bhojpuri", "tulu", "sanskrit", "maithili", "rajasthani", "haryanvi", "konkani", "nepali",
+    "tamil language", "telugu language", "kannada language", "malayalam language", "marathi language", "hindi language", "india", "pakistan", "south korea",
+    "netflix", "amazon prime video", "prime video", "disney+", "disney+ hotstar", "hotstar", "jiohotstar", "sonyliv", "sony liv", "zee5", "zee telugu", "mx player", "altbalaji", "aha (streaming service)", "aha", "aha video", "manoramamax",
+    "stage (streaming service)", "sun nxt", "colors (tv channel)", "starplus", "star plus", "zee tv", "sony entertainment television", "sony sab", "sab tv", "sun tv", "star maa", "etv telugu", "colors marathi", "zee marathi", "star jalsha",
+    "colors kannada", "star vijay", "vijay tv", "asianet", "sun tv (india)", "jawan (streaming service)",
+    "yash raj films", "t-series", "red chillies entertainment", "dharma productions", "viacom18 studios", "jio studios", "roy kapur films", "eros international", "zeal entertainment", "indian rupee", "₹",
+}
+_NO_PERSON = re.compile(r"^(?:file|image|media|category|wikipedia|wp|template|portal|help|special|draft|module|user|wikt|wiktionary|commons|list of|index of|table of|timeline of|glossary of|outline of)|^\d|:(?!\s)", re.IGNORECASE)
+
+
+def is_person_like(title: str | None) -> bool:
+    """Whether a link's target may be a person's article."""
+    text = (title or "").strip().replace("_", " ")
+    return bool(text) and not _NO_PERSON.search(text) and text.lower() not in NON_PERSONS
+
+
+def role_label(field: str) -> str:
+    key = field.strip().lower()
+    return ROLE_LABELS.get(key) or re.sub(r"\b\w", lambda m: m[0].upper(), key.replace("_", " "))
 
 
 def _scope(text: str, wanted: re.Pattern) -> list[dict]:
@@ -51,14 +78,18 @@ def cast(text: str | None) -> list[dict]:
     return out
 
 
-def person_links(box: dict[str, str] | None, members: list[dict]) -> list[dict]:
-    """(target, label, role): links of the crew fields, then of the cast; the first role of a target counts."""
+def person_links(box: dict[str, str] | None, members: list[dict], fields: list[str] | None = None) -> list[dict]:
+    """(target, label, role): links of the infobox ``fields`` (all crew fields without), then of the cast.
+
+    Targets that can't be persons are left out; the first role of a target counts.
+    """
     out: dict[str, dict] = {}
-    for field, role in CREW_FIELDS.items():
+    for field in ROLE_LABELS if fields is None else fields:
         for link in wiki_links((box or {}).get(field)):
-            out.setdefault(link["target"], {**link, "role": role})
+            if is_person_like(link["target"]):
+                out.setdefault(link["target"], {**link, "role": role_label(field)})
     for m in members:
-        if m["wikititle"]:
+        if is_person_like(m["wikititle"]):
             out.setdefault(m["wikititle"], {"target": m["wikititle"], "label": m["name"], "role": "Cast"})
     return list(out.values())
 
@@ -146,13 +177,37 @@ def soundtrack(text: str | None) -> dict:
     return {"title": scope[0]["title"] if scope else None, "composer": composer, "tracks": tracks}
 
 
-_WORKS = re.compile(r"filmograph|\bfilms?\b|\bmovies\b|television|videography|notable works|music videos|web series|^as\s+(?:an?\s+)?(?:actor|actress|director|producer|writer|host|singer)", re.IGNORECASE)
-_NO_WORK = re.compile(r"^(?:\+\s*)?(?:list of|index of|awards?|accolades?|19\d\d|20\d\d|category|filmography|discography|year|title|film|role|notes|tba|released|upcoming|post-production|filming)\b", re.IGNORECASE)
-_YEARISH = re.compile(r"^(?:\d{4}(?:\s*[–—-]\s*(?:\d{2,4}|present))?|TBA|TBD)$", re.IGNORECASE)
-_FIELDS = {"year": "year", "title": "title", "film": "title", "movie": "title", "name": "title", "show": "title", "serial": "title", "serie": "title", "series": "title", "work": "title", "role": "role", "character": "role", "note": "notes", "notes": "notes", "language": "language"}
-
-
-def filmography(text: str | None, most: int = 240) -> list[dict]:
+# Words of a heading that say the medium.
+_TELEVISION = re.compile(r"television|\btv\b|serial|web series|streaming")
+_FILM = re.compile(r"filmograph|\bfilms?\b|\bmovies\b|as\s+(?:an?\s+)?(?:actor|actress|director|producer|writer)")
+# Sections of works, targets and titles that are none, and the columns of their tables.
+_WORKS = re.compile(r"filmograph|\bfilms?\b|\bmovies\b|television|videography|notable works|music videos|web series|^as\s+(?:an?\s+)?(?:actor|actress|director|producer|writer|host|singer|artist|dancer|composer|playback)", re.IGNORECASE)
+_NO_WORK = re.compile(r"^(?:\+\s*)?(?:list of|index of|awards?|accolades?|nominations?|19\d\d|20\d\d|category|wikipedia|template|the following|filmography|discography|bibliography|references|external links)", re.IGNORECASE)
+_PUBLISHERS = {
+    "the times of india", "hindustan times", "the indian express", "india today", "deccan herald", "deccan chronicle", "the hindu", "ndtv", "cnn-news18", "zee news", "bollywood hungama", "rediff", "dna india", "firstpost", "the free press journal", "mid-day",
+    "youtube", "netflix", "amazon prime video", "disney+ hotstar", "jiocinema", "sonyliv", "mx player", "zee5", "aha (streaming service)", "sun nxt", "imdb", "rotten tomatoes", "cinema of india", "indian cinema", "bollywood", "tollywood", "kollywood", "mollywood",
+    "sandalwood", "playback singing", "playback singer", "feature film", "short film", "soundtrack album", "filmfare award", "filmfare awards", "filmfare ott award", "filmfare ott awards", "national film award", "national film awards", "siima award", "siima awards",
+    "iifa award", "iifa awards", "screen award", "screen awards", "stardust award", "stardust awards", "zee cine award", "zee cine awards", "nandi award", "nandi awards",
+}
+_LANGUAGES = re.compile(r"^(?:hindi|punjabi|tamil|telugu|kannada|malayalam|bengali|marathi|gujarati|english|urdu|assamese|odia|tulu|meitei)(?: (?:language|cinema))?$", re.IGNORECASE)
+_NO_TITLE = re.compile(
+    r"^(?:languages?|reviews?|year|title|roles?|notes?|ref\.?|refs|result|award|category|work|film|show|serial|network|channel|director|producer|rank|no\.|#|references?|\d{4}"
+    r"|filming|filmed|released?|tba|announced|pre-?production|post-?production|production|delayed|upcoming|completed|scheduled|unreleased)$",
+    re.IGNORECASE,
+)
+_YEARISH = re.compile(r"^(?:\d{4}(?:\s*[–—-]\s*(?:\d{0,4}|present))?|TBA|TBD|forthcoming|upcoming)$", re.IGNORECASE)
+_FIELDS = {
+    "year": "year", "title": "title", "film": "title", "movie": "title", "name": "title", "show": "title", "serial": "title", "serie": "title", "series": "title", "work": "title", "role": "role", "played": "role", "played as": "role", "played a": "role", "character": "role", "portrayed": "role",
+    "note": "notes", "notes": "notes", "language": "notes", "director": "notes", "platform": "notes", "channel": "notes", "network": "notes", "music": "notes",
+}
+
+
+def is_work(target: str) -> bool:
+    """Whether a link's target or a title may be a work: no list, publisher, service, award or language."""
+    return not (_NO_WORK.match(target) or target.lower() in _PUBLISHERS or _LANGUAGES.match(target))
+
+
+def filmography(text: str | None, most: int | None = None) -> list[dict]:
     """(heading, medium, year, title, wikititle, role, notes) of works in filmography sections, in order.
 
     A heading opens a block; deeper ones continue it, a matching deeper one starts a section of its own. Rows map by
@@ -168,13 +223,13 @@ def filmography(text: str | None, most: int = 240) -> list[dict]:
             level = None
             continue
         name = heading.lower()
-        medium = "television" if "television" in name or "web series" in name else "film" if "film" in name or "movie" in name else "other"
+        medium = "television" if _TELEVISION.search(name) else "film" if _FILM.search(name) else "other"
         body = s["body"]
 
         def add(year, title, target, role=None, notes=None):
             title = _trim(title)
             key = (heading, target or title)  # noqa: B023
-            if len(title) < 2 and not target or _NO_WORK.match(title) or key in seen:
+            if len(title) < 2 and not target or _NO_TITLE.match(title) or not is_work(target or title) or key in seen:
                 return
             seen.add(key)
             out.append({"heading": heading, "medium": medium, "year": year, "title": title, "wikititle": target, "role": role or None, "notes": notes or None})  # noqa: B023
@@ -187,7 +242,9 @@ def filmography(text: str | None, most: int = 240) -> list[dict]:
                 got: dict[str, str] = {}
                 if keys and len(filled) == len(keys):
                     for k, c in zip(keys, filled):
-                        if k:
+                        if k == "notes":
+                            got[k] = "; ".join(filter(None, (got.get(k), plain(c))))
+                        elif k:
                             got.setdefault(k, c)
                 else:
                     rest = list(filled)
@@ -206,15 +263,20 @@ def filmography(text: str | None, most: int = 240) -> list[dict]:
                     year = last
                 last = year or last
                 links = wiki_links(title)
-                if title.strip():
-                    add(year, title, links[0]["target"] if links else None, plain(got.get("role")), plain(got.get("notes")))
+                target = links[0]["target"] if links else None
+                if title.strip() and not _NO_TITLE.match(_trim(title)) and is_work(target or _trim(title)):
+                    role = re.sub(r"\s*\(\s*\)", "", plain(got.get("role"))).strip()
+                    add(year, title, target, "" if role == "TBA" else role, plain(got.get("notes")))
+                else:  # a header, or no work: those linked beside it are
+                    for link in wiki_links(" ".join(filled)):
+                        add(year, link["label"], link["target"])
             body = body.replace(table, "")
         for link in wiki_links(body):
             add(None, link["label"], link["target"])
     return out[:most]
 
 
-def discography(text: str | None, most: int = 600) -> list[dict]:
+def discography(text: str | None, most: int | None = None) -> list[dict]:
     """(heading, year, film, song, singers, writers) of song tables: rows whose cells fit a header with a song column."""
     out = []
     for s in sections(text):
@@ -235,88 +297,30 @@ def discography(text: str | None, most: int = 600) -> list[dict]:
     return out[:most]
 
 
-def subpage(text: str | None, word: str) -> str | None:
-    """The page that a {{Main}} pointer names for a subject such as filmography or awards."""
-    for t in templates(text or "", r"^main(?: list| article)?$"):
-        for k, v in t["params"].items():
-            if k.isdigit() and re.search(word, v, re.IGNORECASE):
-                return v.strip()
-    return None
-
-
-_AWARDS = re.compile(r"award|accolade|honou?r|recognition|nomination", re.IGNORECASE)
-_GENERIC = re.compile(r"^(?:awards?|accolades?|honou?rs?|nominations?|recognitions?|awards and nominations|honou?rs and recognitions?)(?: and \w+)?$", re.IGNORECASE)
+# What the page is called that a {{Main}} pointer names for a subject.
+SUBPAGES = {"filmography": "filmograph|discography|videography", "discography": "discography", "awards": "^list of awards", "episodes": "episodes", "soundtrack": "soundtrack|songs"}
 
 
-def _result(cell: str) -> str | None:
-    text = cell.strip().lower()
-    m = re.match(r"\{\{\s*(won|nom|nominated|sho|runner)", text)
-    word = m[1] if m else plain(cell).lower().strip()
-    return "won" if word.startswith(("won", "winner", "win")) else "nominated" if word.startswith(("nom", "sho", "runner")) else None
-
-
-def awards(text: str | None, whole: bool = False, most: int = 120) -> list[dict]:
-    """(year, award, category, work, workwikititle, result) of awards in sections on them, or the ``whole`` page.
-
-    Tables map by header; cells that read as won or nominated give the result; year, award, work and result carry
-    down. Bullets outside tables are won unless they say otherwise; a heading that names a ceremony is the award of
-    its bullets. The first of a year, award, category and work counts; ``most`` is the report's limit.
-    """
-    out: dict[tuple, dict] = {}
-    scope: list[tuple[int, bool, str | None]] = []
-    own = sections(text) or ([{"title": "", "level": 1, "body": text or ""}] if whole else [])
-    for s in own:
-        while scope and scope[-1][0] >= s["level"]:
-            scope.pop()
-        inside = whole or bool(_AWARDS.search(s["title"])) or (bool(scope) and scope[-1][1])
-        ceremony = s["title"] if inside and s["title"] and not _GENERIC.match(s["title"]) else scope[-1][2] if scope else None
-        scope.append((s["level"], inside, ceremony))
-        if not inside:
-            continue
-        body = s["body"]
-        for table in find_tables(body):
-            view = read_table(table, merge_bullets=True)
-            h = view["header"] or []
-            at = {"year": _column(h, "year"), "award": _column(h, "award", "ceremony", "organi"), "category": _column(h, "categor"), "work": _column(h, "film", "work", "title", "show", "serial", "nominee"), "result": _column(h, "result", "outcome", "status")}
-            last: dict[str, str | None] = {}
-            for row in view["rows"]:
-                cell = {k: row[i] if i is not None and i < len(row) else "" for k, i in at.items()}
-                result = _result(cell["result"]) or next((r for c in row if (r := _result(c))), None)
-                got = {k: plain(cell[k]).strip() or None for k in ("year", "award", "category", "work")}
-                for k in ("year", "award"):
-                    got[k] = got[k] or last.get(k)
-                got["award"] = got["award"] or ceremony
-                result = result or (last.get("result") if at["result"] is not None else "won")
-                links = wiki_links(cell["work"])
-                entry = {**got, "workwikititle": links[0]["target"] if links else None, "result": result or ""}
-                last.update(got, result=result)
-                if entry["award"] and not _GENERIC.match(entry["award"]):
-                    out.setdefault((entry["year"], entry["award"], entry["category"], entry["work"]), entry)
-            body = body.replace(table, "")
-        for m in re.finditer(r"^\*+\s*(.+)$", body, re.MULTILINE):
-            line = plain(m[1])
-            year = re.search(r"\b(?:19|20)\d\d\b", line)
-            links = wiki_links(m[1])
-            work = re.search(r"''(.+?)''", m[1])
-            name, _, rest = re.sub(r"^\W*(?:(?:19|20)\d\d)?\W*", "", line).partition(" for ")
-            award = ceremony or name.strip(" –-:,")
-            if award:
-                entry = {"year": year[0] if year else None, "award": award, "category": (name.strip(" –-:,") if ceremony else None) or None, "work": plain(work[1]) if work else None, "workwikititle": next((k["target"] for k in links if work and k["label"] == plain(work[1])), None), "result": "nominated" if "nominat" in line.lower() else "won"}
-                out.setdefault((entry["year"], entry["award"], entry["category"], entry["work"]), entry)
-    return list(out.values())[:most]
+def subpage(text: str | None, subject: str) -> str | None:
+    """The page that a {{Main}} pointer names for a subject such as filmography or awards."""
+    for t in templates(text or "", r"^main\s*(?:list|article)?$"):
+        target = re.sub(r"<[^>]+>", "", t["params"].get("1", "")).strip()
+        if re.search(SUBPAGES.get(subject, subject), target, re.IGNORECASE):
+            return target
+    return None
 
 
 def award_totals(box: dict[str, str] | None) -> dict:
-    """(wins, nominations, ceremonies) that an awards infobox states; numbering may have gaps."""
+    """(wins, nominations, ceremonies) that an awards infobox states; numbering may have gaps, no number is 0."""
     box = box or {}
-    number = lambda v: int(m[0]) if (m := re.search(r"\d+", v or "")) else None
+    number = lambda v: int(re.sub(r"\D", "", v or "") or 0)
     found = []
     for n in sorted({int(m[1]) for k in box if (m := re.fullmatch(r"award(\d+)", k))}):
         found.append({"award": plain(box[f"award{n}"]), "wins": number(box.get(f"award{n}w")), "nominations": number(box.get(f"award{n}n"))})
     return {"wins": number(box.get("wins")), "nominations": number(box.get("nominations")), "ceremonies": found}
 
 
-def bio_sections(text: str | None, most: int = 1800, least: int = 40) -> list[dict]:
+def bio_sections(text: str | None, most: int | None = None, least: int = 40) -> list[dict]:
     """(heading, text) of the early and the personal life."""
     out = []
     for s in sections(text):

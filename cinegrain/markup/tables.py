@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+# Fixed value: wider spans count as this.
 MOST_SPAN = 100
 _ATTRIBUTES = re.compile(r"^((?:[\w-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s|]+)\s*)+)\|(?!\|)\s*")
 # First words of header cells.

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cinegrain.markup import core, lists, tables
+from cinegrain.markup import core, honours, lists, tables
 
 _S = "string"
 FAMILIES: dict[str, tuple[str, Callable]] = {
@@ -25,7 +26,11 @@ FAMILIES: dict[str, tuple[str, Callable]] = {
     "tracks": ("array<struct<number:string,title:string,singers:string,lyrics:string,length:string>>", lambda t: lists.soundtrack(t)["tracks"]),
     "filmography": ("array<struct<heading:string,medium:string,year:string,title:string,wikititle:string,role:string,notes:string>>", lists.filmography),
     "discography": ("array<struct<heading:string,year:string,film:string,song:string,singers:string,writers:string>>", lists.discography),
-    "awards": ("array<struct<year:string,award:string,category:string,work:string,workwikititle:string,result:string>>", lists.awards),
+    "awards": ("array<struct<year:string,award:string,awardwikititle:string,category:string,work:string,workwikititle:string,recipients:string,result:string>>", honours.awards),
+    "awards_page": ("array<struct<year:string,award:string,awardwikititle:string,category:string,work:string,workwikititle:string,recipients:string,result:string>>", lambda t: honours.awards(t, whole=True)),
+    "article": ("array<struct<title:string,text:string>>", core.article_sections),
+    "facts": ("array<struct<label:string,value:string>>", core.person_facts),
+    "external": ("array<struct<label:string,url:string>>", lambda t: core.external_links(t)["links"]),
     "bio": ("array<struct<heading:string,text:string>>", lists.bio_sections),
     "grid": ("array<struct<tab:int,row:int,col:int,value:string>>", lambda t: [{"tab": n, "row": i, "col": j, "value": core.plain(c)} for n, x in enumerate(tables.find_tables(t or "")) for i, r in enumerate(tables.read_table(x)["rows"]) for j, c in enumerate(r)]),
     "list_items": ("array<string>", core.list_items),
@@ -36,6 +41,21 @@ FAMILIES: dict[str, tuple[str, Callable]] = {
 }
 
 
+def family_fields(family: str) -> list[str]:
+    """The fields of a family's records."""
+    return [f.name for f in T._parse_datatype_string(FAMILIES[family][0]).elementType.fields]
+
+
+def subpage_of(text: Column, subject: str) -> Column:
+    """The page that a {{Main}} pointer of each text names for a subject; see ``lists.subpage``."""
+
+    @F.pandas_udf("string")
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: lists.subpage(t, subject), na_action="ignore")
+
+    return read(text)
+
+
 def extracted(df: DataFrame, key: str, text: str, family: str) -> DataFrame:
     """(key, found): the records of a family in each text; a null text has none."""
     kind, read = FAMILIES[family]
@@ -53,7 +73,7 @@ def extracted(df: DataFrame, key: str, text: str, family: str) -> DataFrame:
 def exploded(df: DataFrame, key: str, text: str, family: str) -> DataFrame:
     """One row per record with ``pos`` from 1; texts without records have no rows."""
     found = extracted(df, key, text, family)
-    rows = found.select(key, F.posexplode("found").alias("at", "r"))
+    rows = found.select(key, F.posexplode("found").alias("_at", "_r"))
     fields = found.schema["found"].dataType.elementType
-    columns = [F.col(f"r.{f.name}").alias(f.name) for f in fields.fields] if isinstance(fields, T.StructType) else [F.col("r").alias("value")]
-    return rows.select(key, (F.col("at") + 1).cast("bigint").alias("pos"), *columns)
+    columns = [F.col(f"_r.{f.name}").alias(f.name) for f in fields.fields] if isinstance(fields, T.StructType) else [F.col("_r").alias("value")]
+    return rows.select(key, (F.col("_at") + 1).cast("bigint").alias("pos"), *columns)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +94,17 @@ def global_rank(df: DataFrame, order: list) -> DataFrame:
     return ordered.join(F.broadcast(table), "_part").withColumn("rank", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
 
 
+def group_rank(df: DataFrame, by: list[str], order: list) -> DataFrame:
+    """``rank`` from 0 within each group and the group's ``count``; a group of any size is spread over tasks.
+
+    All rows are ranked by group and order at once; a group's ranks follow each other, so its least is taken off.
+    """
+    ranked = global_rank(df, [*by, *order])
+    first = ranked.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min("rank").alias("_first"), F.count("*").alias("count"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return ranked.join(first, same).withColumn("rank", F.col("rank") - F.col("_first")).drop("_first", *[f"_{c}" for c in by])
+
+
 def season_urls(changed: DataFrame, tracked: DataFrame, most: int = 50) -> DataFrame:
     """(kind, id, url): every cached address of tracked titles that changed, seasons included."""
     hit = tracked.filter("id is not null").join(changed.select("kind", "id").distinct(), ["kind", "id"], "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinegrain.functions.scalars import half_up
+from cinegrain.operators.delta import group_rank
 
 
 def index_order(date: str = "releasedate", year: str = "year", title: str = "title", key: str = "pageid") -> list[Column]:
@@ -14,11 +15,21 @@ def index_order(date: str = "releasedate", year: str = "year", title: str = "tit
 
 
 def index_pages(titles: DataFrame, size: int = 200, by: list[str] = ("kind",), order: list[Column] | None = None) -> DataFrame:
-    """Rows with ``place``, ``page`` and ``pages`` within their group."""
-    group = Window.partitionBy(*by)
-    place = F.row_number().over(group.orderBy(*(order or index_order())))
-    pages = F.greatest(F.lit(1), F.ceil(F.count("*").over(group) / size)).cast("int")
-    return titles.withColumn("place", place).withColumn("page", F.ceil(F.col("place") / size).cast("int")).withColumn("pages", pages)
+    """Rows with ``place``, ``page`` and ``pages`` within their group, by ranges: no task orders a whole group."""
+    ranked = group_rank(titles, list(by), order or index_order())
+    place, pages = F.col("rank") + 1, F.greatest(F.lit(1), F.ceil(F.col("count") / size)).cast("int")
+    return ranked.withColumn("place", place).withColumn("page", F.ceil(F.col("place") / size).cast("int")).withColumn("pages", pages).drop("rank", "count")
+
+
+def overflow(df: DataFrame, by: list[str], order: list[Column], most: int, key: str) -> DataFrame:
+    """(key, overflow): whether a row comes after the first ``most`` of its group.
+
+    The first rows of a group are found by limits in each task before the shuffle, so a group of any size is no task's
+    own; the rows are then told by ``key``, which must be unique.
+    """
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    first = df.withColumn("_place", place).filter(F.col("_place") <= most).select(key, F.lit(False).alias("_over"))
+    return df.select(key).join(first, key, "left").select(key, F.coalesce("_over", F.lit(True)).alias("overflow"))
 
 
 def page_links(page: Column, pages: Column) -> Column:
@@ -114,3 +125,15 @@ def until_gap(df: DataFrame, by: list[str], order: list, has_rows: str) -> DataF
     """The rows before the first without content, in order."""
     window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("_ok", F.min(F.col(has_rows).cast("int")).over(window)).filter("_ok = 1").drop("_ok")
+
+
+def related(df: DataFrame, by: str, key: str, order: list[Column], most: int) -> DataFrame:
+    """(key, related): for each row the first ``most`` others of its group.
+
+    They are among the group's first ``most`` + 1, found by limits before the shuffle; every row meets only these.
+    """
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    first = df.withColumn("_place", place).filter(F.col("_place") <= most + 1).select(by, F.col(key).alias("related"), "_place")
+    own = first.filter(F.col("_place") <= most).select(F.col("related").alias(key), F.lit(1).alias("_among"))
+    met = df.select(key, by).join(own, key, "left").join(first, by)
+    return met.filter((F.col(key) != F.col("related")) & (F.col("_place") <= most + F.coalesce("_among", F.lit(0)))).select(key, "related")

@@ -77,10 +77,9 @@ def visible(raw: str) -> str:
     """A raw value without comments, references, tags and templates; list items on lines, labels of links marked."""
     text = _REFERENCE.sub("", _COMMENT.sub("", raw))
     text = _TAG.sub("", _BREAK.sub("\n", text))
-    for _ in range(20):
+    n = 1
+    while n:  # the innermost templates of each round; there are ever fewer braces
         text, n = _TEMPLATE.subn(_template, text)
-        if not n:
-            break
     text = _LINK.sub(lambda m: _OPEN + m[1].rpartition("|")[2].strip() + _SHUT, text)
     text = _URL.sub(r"\1", text)
     text = re.sub(r"'{2,5}", "", text)

@@ -44,4 +44,5 @@ def trends_payload(titles: DataFrame, views: DataFrame, most: int) -> DataFrame:
     """
     scored = titles.join(trend_scores(views), "title", "left").select("kind", "slug", F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("views", F.lit(0)).alias("views"))
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "slug"))
-    return scored.withColumn("place", F.when((F.col("score") > 0) & (place <= most), place))
+    top = scored.filter("score > 0").withColumn("place", place).filter(F.col("place") <= most).select("kind", "slug", "place")
+    return scored.join(top, ["kind", "slug"], "left")

@@ -305,17 +305,6 @@ def known_for(spark: SparkSession, d: str) -> DataFrame:
     return ranking.known_for(works, records, YEAR_NOW).withColumn("year", F.coalesce("year", F.lit(0))).withColumn("place", F.col("place").cast("bigint"))
 
 
-@REGISTRY.query(
-    f"""select pageid, id, cast(tier as int) tier from (select t.pageid, s.id, case when lower(trim(s.title)) = lower(trim(t.title)) and s.y = t.year then 0 when lower(trim(s.title)) = lower(trim(t.title)) then 1 when s.y = t.year then 2 else 3 end tier,
-row_number() over (partition by t.pageid order by tier, s.id) r from {TITLES} t join (select distinct id, title, try_cast(left(release_date, 4) as int) y, left(title, 8) head from search_results) s on s.head = left(t.title, 8)) where r = 1"""
-)
-def pick_match(spark: SparkSession, d: str) -> DataFrame:
-    """As its SQL, among results with the same first 8 characters of the title only; ``pick_match_all`` has no such cut."""
-    results = table(spark, d, "search_results").dropDuplicates(["id"]).select("id", F.col("title").alias("found"), F.left("title", F.lit(8)).alias("head"), F.left("release_date", F.lit(4)).try_cast("int").alias("found_year"))
-    pairs = titles(spark, d).select("pageid", "title", "year", F.left("title", F.lit(8)).alias("head")).join(results, "head")
-    return ranking.pick_match(pairs, ["pageid"], F.col("title"), F.col("found"), F.col("year"), F.col("found_year"), "id").select("pageid", "id", "tier")
-
-
 @REGISTRY.query(
     f"""select pageid, id, cast(tier as int) tier from (select t.pageid, s.id, case when s.low = lower(trim(t.title)) and s.y = t.year then 0 when s.low = lower(trim(t.title)) then 1 when s.y = t.year then 2 else 3 end tier,
 row_number() over (partition by t.pageid order by tier, s.id) r from {TITLES} t join (select distinct id, case when title is null then 'series' else 'movie' end kind, lower(trim(coalesce(title, name))) low, try_cast(left(coalesce(release_date, first_air_date), 4) as int) y from search_results) s using (kind)) where r = 1"""
@@ -559,13 +548,6 @@ def page_parameters(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("pageid", S.start_date(p("released")).alias("start_date"), S.runtime_text(p("runtime")).alias("runtime"))
 
 
-@REGISTRY.query("select doc_id, case when length(s) between 40 and 200 then s end tagline from (select doc_id, trim(regexp_extract(trim(text), '^(.*?[.!?])(\\s+[A-Z\"''“(\\[]|$)', 1, 's')) s from documents where lang in ('en', 'EN', 'eng') and text ~ '^[A-Za-z ,0-9]+\\. [A-Z][a-z]')")
-def taglines(spark: SparkSession, d: str) -> DataFrame:
-    """As its SQL, of texts with a plain first sentence and three labels only; ``taglines_all`` has all."""
-    docs = table(spark, d, "documents").filter(F.col("lang").isin("en", "EN", "eng") & F.col("text").rlike(r"^[A-Za-z ,0-9]+\. [A-Z][a-z]"))
-    return docs.select("doc_id", S.tagline_of(F.col("text")).alias("tagline"))
-
-
 @REGISTRY.query()
 def taglines_all(spark: SparkSession, d: str) -> DataFrame:
     """Every document, whatever its label and first sentence; a null text has a null tagline."""
@@ -596,14 +578,15 @@ def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.size(S.sentence_chunks(F.col("text"))).alias("n_chunks"), S.lead_sentence(F.col("text"))["lead"].alias("lead"), F.array_join(S.timeline_dates(F.col("text")), "|").alias("dates"), S.truncated(F.col("text"), 900).alias("short"))
 
 
-@REGISTRY.query(f"select pageid, '{{\"@type\":\"' || case kind when 'series' then 'TVSeries' else 'Movie' end || '\",\"name\":' || to_json(title) || '}}' json from {TITLES} where not contains(title, '\"')")
+@REGISTRY.query(f"select pageid, '{{\"@type\":\"' || case kind when 'series' then 'TVSeries' else 'Movie' end || '\",\"name\":' || to_json(title) || '}}' json from {TITLES}")
 def json_ld(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("kind") == "series", "TVSeries").otherwise("Movie")
-    return titles(spark, d).filter(~F.col("title").contains('"')).select("pageid", F.to_json(F.struct(kind.alias("@type"), F.col("title").alias("name"))).alias("json"))
+    return titles(spark, d).select("pageid", F.to_json(F.struct(kind.alias("@type"), F.col("title").alias("name"))).alias("json"))
 
 
-@REGISTRY.query(f"""select a.pageid, b.pageid related from {TITLES} a join (select *, row_number() over (partition by lower(title) order by pageid) r from {TITLES}) b on lower(a.title) = lower(b.title) and a.pageid <> b.pageid where b.r <= 6""")
+@REGISTRY.query(
+    f"""with t as (select pageid, lower(title) low, year from {TITLES})
+select pageid, related from (select a.pageid, b.pageid related, row_number() over (partition by a.pageid order by b.year desc nulls last, b.pageid) r from t a join t b on a.low = b.low and a.pageid <> b.pageid) where r <= 6"""
+)
 def related_titles(spark: SparkSession, d: str) -> DataFrame:
-    t = titles(spark, d).select("pageid", F.lower("title").alias("low"))
-    first = t.withColumn("r", F.row_number().over(Window.partitionBy("low").orderBy("pageid"))).filter("r <= 6").select(F.col("pageid").alias("related"), "low")
-    return t.join(first, "low").filter("pageid <> related").select("pageid", "related")
+    return ranking.related(titles(spark, d).select("pageid", F.lower("title").alias("low"), "year"), "low", "pageid", [F.desc_nulls_last("year"), F.col("pageid")], 6)

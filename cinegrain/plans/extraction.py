@@ -71,9 +71,6 @@ def infobox_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return wide.select("pageid", F.col("name").alias("title"), "year", "language")
 
 
-CAST_ROWS = f"(select pageid, entry_id, name, coalesce(wikititle, '') wikititle, coalesce(role, '') as role from {PEOPLE} where name ~ '^[A-Z][a-z]+ [A-Z][a-z]+$' and (wikititle is null or wikititle !~ '_') and origin = 'wiki')"
-
-
 def cast_read(p: DataFrame) -> DataFrame:
     """Cast entries written as a page's bullets, in order of entry_id, and read back; those without a name or link have none."""
     p = p.filter("coalesce(nullif(trim(name), ''), nullif(trim(wikititle), '')) is not null")
@@ -83,12 +80,6 @@ def cast_read(p: DataFrame) -> DataFrame:
     return exploded(text, "pageid", "text", "cast").select("pageid", "pos", "name", F.coalesce("wikititle", F.lit("")).alias("wikititle"), "role")
 
 
-@REGISTRY.query(f"select pageid, row_number() over (partition by pageid order by entry_id) pos, name, wikititle, role from {CAST_ROWS}")
-def cast_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """As its SQL, of names of two plain words only; ``cast_round_trip_all`` has all."""
-    return cast_read(people(spark, d).filter("origin = 'wiki' and name rlike '^[A-Z][a-z]+ [A-Z][a-z]+$' and (wikititle is null or not wikititle like '%\\\\_%')"))
-
-
 @REGISTRY.query()
 def cast_round_trip_all(spark: SparkSession, d: str) -> DataFrame:
     return cast_read(people(spark, d).filter("origin = 'wiki'"))
@@ -133,14 +124,14 @@ def filmography_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return found.join(at, ["l_orderkey", "wikititle"]).select("l_orderkey", F.col("at").alias("pos"), "year", "title", "wikititle", "role")
 
 
-TRACKS = "(select distinct song_id, pageid, number, title, length from song_rows where listing = 'track' and title ~ '^[A-Z]')"
+TRACKS = "(select distinct song_id, pageid, number, title, length from song_rows where listing = 'track')"
 
 
 @REGISTRY.query(f"select pageid, row_number() over (partition by pageid order by song_id) pos, title, coalesce(length, '') as length from {TRACKS}")
 def tracks_round_trip(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = table(spark, d, "song_rows").filter("listing = 'track' and title rlike '^[A-Z]'").select("song_id", "pageid", "number", "title", "length").distinct()
+    rows = table(spark, d, "song_rows").filter("listing = 'track'").select("song_id", "pageid", "number", "title", "length").distinct()
     rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("pageid").orderBy("song_id")))
     n = F.col("pos").cast("string")
     line = F.concat(F.lit("| title"), n, F.lit(" = "), "title", F.lit(NOISE), F.lit("\n| length"), n, F.lit(" = "), F.coalesce("length", F.lit("")))
@@ -168,12 +159,6 @@ def episodes_read(orders: DataFrame) -> DataFrame:
     return found.select(F.regexp_extract("summary", r"(\d+)", 1).cast("bigint").alias("o_orderkey"), F.col("number").cast("bigint").alias("number"), "season", "title")
 
 
-@REGISTRY.query("select o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) number, cast(year(o_orderdate) as int) season, o_orderpriority title from orders where o_orderkey % 2 = 0")
-def episodes_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """As its SQL, of orders with an even key only; ``episodes_round_trip_all`` has all."""
-    return episodes_read(table(spark, d, "orders").filter("o_orderkey % 2 = 0"))
-
-
 @REGISTRY.query("select o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) number, cast(year(o_orderdate) as int) season, o_orderpriority title from orders")
 def episodes_round_trip_all(spark: SparkSession, d: str) -> DataFrame:
     return episodes_read(table(spark, d, "orders"))

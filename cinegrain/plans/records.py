@@ -19,7 +19,10 @@ REGISTRY = Registry()
 
 @REGISTRY.query("select distinct pageid, kind, slug, title, wikititle, releasedate, coalesce(year, 0) as year, language, coalesce(archive, false) archive, len(directedby) episodecount from titles")
 def title_summary(spark: SparkSession, d: str) -> DataFrame:
-    t = R.title_summary(table(spark, d, "titles").dropDuplicates(["pageid"]), "directedby").drop("directedby")
+    full = table(spark, d, "titles").dropDuplicates(["pageid"]).drop("params").withColumnRenamed("directedby", "episodesList")
+    for heavy in ("plot", "plotHtml", "nativeName", "tagline", "articleSections", "reception", "facts", "cast", "crew", "external", "trailer"):
+        full = full.withColumn(heavy, F.col("episodesList"))
+    t = R.title_summary(full, "episodesList")
     return t.withColumn("year", F.coalesce("year", F.lit(0))).withColumn("archive", F.coalesce("archive", F.lit(False))).withColumn("episodecount", F.col("episodecount").cast("bigint"))
 
 
@@ -42,18 +45,6 @@ def season_payloads(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", "e.number", "e.title", F.col("e.season").cast("bigint").alias("season"))
 
 
-@REGISTRY.query(
-    """select l_orderkey, l_linenumber, case when l_linestatus = 'F' then 'own' else o_orderpriority end summary, case when l_linenumber = 1 then cast(o_custkey as varchar) else '7' end runtime
-from lineitem join orders on o_orderkey = l_orderkey where l_linenumber <= 2"""
-)
-def fill_episodes(spark: SparkSession, d: str) -> DataFrame:
-    """As its SQL, of the first two lines of an order only; ``fill_episodes_all`` has all."""
-    lines = table(spark, d, "lineitem").filter("l_linenumber <= 2")
-    own = lines.select("l_orderkey", "l_linenumber", F.lit("1").alias("number"), F.when(F.col("l_linenumber") == 2, 1).alias("season"), F.when(F.col("l_linestatus") == "F", "own").otherwise("").alias("summary"), F.when(F.col("l_linenumber") == 2, "7").otherwise("").alias("runtime"))
-    other = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit("1").alias("number"), F.lit(1).alias("season"), F.col("o_orderpriority").alias("summary"), F.col("o_custkey").cast("int").alias("runtime"))
-    return R.fill_episodes(own, other, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "summary", "runtime")
-
-
 @REGISTRY.query(
     """with e as (select distinct l_orderkey k, l_linenumber n, case when l_linenumber % 2 = 0 then 2 end s, o_orderpriority || l_linenumber s2, o_custkey r2 from lineitem join orders on o_orderkey = l_orderkey)
 select l_orderkey, l_linenumber, case when l_linestatus = 'F' then 'own' else s2 end summary, case when l_linenumber % 3 = 2 then '7' else cast(r2 as varchar) end runtime
@@ -69,9 +60,9 @@ def fill_episodes_all(spark: SparkSession, d: str) -> DataFrame:
     return R.fill_episodes(own, other, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "summary", "runtime")
 
 
-@REGISTRY.query(f"select pageid, title || '|' || language as items, case when len(directedby) > 0 then directedby[1] else title end as leading from (select distinct pageid, title, language, directedby from titles) where title <> language")
+@REGISTRY.query(f"select pageid, title || case when language in (title, '') then '' else '|' || language end as items, case when len(directedby) > 0 then directedby[1] else title end as leading from (select distinct pageid, title, language, directedby from titles)")
 def list_unions(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "titles").dropDuplicates(["pageid"]).filter("title <> language")
+    t = table(spark, d, "titles").dropDuplicates(["pageid"])
     both = R.union_lists(F.array("title", F.lit("")), F.array("language", "title"), F.lit(None).cast("array<string>"))
     return t.select("pageid", F.array_join(both, "|").alias("items"), R.first_filled(F.col("directedby"), F.array("title"))[0].alias("leading"))
 
@@ -83,18 +74,6 @@ def image_fallback(spark: SparkSession, d: str) -> DataFrame:
     return R.fill_images(t, images, "image", "poster").select("pageid", "poster")
 
 
-@REGISTRY.query(
-    f"""select p.entry_id, case when t.slug is not null then case when t.kind = 'series' then '/series/' else '/movies/' end || t.slug || '/' else 'https://en.wikipedia.org/wiki/' || replace(replace(replace(url_encode(replace(w, ' ', '_')), '%28', '('), '%29', ')'), '%21', '!') end url
-from (select entry_id, case when p.entry_id % 2 = 0 then t.wikititle else p.wikititle end w from {PEOPLE} p join {TITLES} t using (pageid) where p.wikititle is not null and t.wikititle !~ '[^A-Za-z0-9 ()]') p left join {TITLES} t on t.wikititle = p.w"""
-)
-def work_links(spark: SparkSession, d: str) -> DataFrame:
-    """As its SQL, of titles without signs that addresses escape only; ``work_links_all`` has all."""
-    t = titles(spark, d)
-    rows = people(spark, d).filter("wikititle is not null").select("entry_id", "pageid", F.col("wikititle").alias("person")).join(t.select("pageid", "wikititle").filter("not wikititle rlike '[^A-Za-z0-9 ()]'"), "pageid")
-    rows = rows.select("entry_id", F.when(F.col("entry_id") % 2 == 0, F.col("wikititle")).otherwise(F.col("person")).alias("work"))
-    return R.work_links(rows, t, "work").select("entry_id", "url")
-
-
 @REGISTRY.query(
     f"""select p.entry_id, case when t.slug is not null then case when t.kind = 'series' then '/series/' else '/movies/' end || t.slug || '/' else 'https://en.wikipedia.org/wiki/' || replace(replace(replace(replace(replace(url_encode(replace(w, ' ', '_')), '%28', '('), '%29', ')'), '%21', '!'), '%27', ''''), '%2A', '*') end url
 from (select entry_id, case when p.entry_id % 2 = 0 then t.wikititle else p.wikititle end w from {PEOPLE} p join {TITLES} t using (pageid) where p.wikititle is not null) p left join {TITLES} t on t.wikititle = p.w"""

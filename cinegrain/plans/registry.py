@@ -26,3 +26,9 @@ class Registry:
             return f
 
         return add
+
+    def add(self, name: str, query: Query, sql: str | None = None) -> None:
+        """Register a function under a name."""
+        self.queries[name] = query
+        if sql is not None:
+            self.sql[name] = sql

@@ -76,8 +76,7 @@ def site_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @REGISTRY.query(f"select entry_id, r > 8 overflow from (select entry_id, row_number() over (partition by pageid order by ord nulls last, entry_id) r from {PEOPLE})")
 def overflow_flags(spark: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("pageid").orderBy(F.asc_nulls_last("ord"), "entry_id"))
-    return people(spark, d).select("entry_id", (place > 8).alias("overflow"))
+    return ranking.overflow(people(spark, d), ["pageid"], [F.asc_nulls_last("ord"), F.col("entry_id")], 8, "entry_id")
 
 
 @REGISTRY.query(f"select entry_id from (select entry_id, row_number() over (partition by pageid, coalesce(wikititle, name, '') order by ord nulls last, entry_id) r from {PEOPLE}) where r = 1")

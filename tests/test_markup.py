@@ -79,4 +79,4 @@ def test_links_and_html():
     assert core.linked_html("a [[X|y]] & [[Z]] [[File:Q]] \"", {"X": "/x"}) == 'a <a href="/x">y</a> &amp; Z &quot;'
     assert core.date_text("{{Birth date and age|1984|5|31|df=y}}") == "31 May 1984"
     assert lists.subpage("{{Main| P filmography }}", "filmography") == "P filmography"
-    assert core.external_links("{{IMDb title|0123}}\n* [https://a.b Label]")["imdbid"] == "tt0123"
+    assert core.external_links("{{IMDb title|tt0012345}}\n* [https://a.b Label]") == {"imdbid": "0012345", "official": None, "links": [{"label": "Label", "url": "https://a.b"}]}
