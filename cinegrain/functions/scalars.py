@@ -236,3 +236,22 @@ def half_up(x: Column, digits: int = 0) -> Column:
     """Rounding with halves towards plus infinity."""
     scale = 10**digits
     return F.floor(x * scale + 0.5) / scale if digits else F.floor(x + 0.5)
+
+
+def needs_fresh_search(found: Column, year: Column, year_now: int) -> Column:
+    """Whether a title without a found id is of this year or later, when names still change."""
+    return found.isNull() & (F.coalesce(year, F.lit(0)) >= year_now)
+
+
+# Words of categories that only serve the upkeep of pages.
+UPKEEP = ["articles", "templates", "stub", "navigation", "tracking", "maintenance", "pages needing", "cleanup", "categories", "disambiguation"]
+
+
+def is_wanted_category(title: Column) -> Column:
+    return ~title.rlike("(?i)(" + "|".join(UPKEEP) + ")")
+
+
+def without(items: Column, others: Column) -> Column:
+    """The items that are none of the others, whatever their case."""
+    low = F.transform(others, F.lower)
+    return F.filter(items, lambda x: ~F.array_contains(low, F.lower(x)))

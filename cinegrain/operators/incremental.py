@@ -158,6 +158,23 @@ def run_incremental(store: StateStore, current: DataFrame, key: str, digest: str
     return run_selected(store, schema, lambda state: changed_records(current, state, key, digest, order), lambda state, todo: latest_state(state, todo, key, digest), process)
 
 
+def baseline_or_changes(store: StateStore, current: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, change) against the last snapshot, which ``current`` then becomes; the first run only sets it.
+
+    ``current`` has one row per key. Values are compared null-safe.
+    """
+    first = store.version() is None
+    schema = current.select(key, value).schema
+
+    def select(state):
+        return changed_records(current.select(key, value), state, key, value)
+
+    def process(todo):
+        return todo.limit(0) if first else todo
+
+    return run_selected(store, schema, select, lambda state, todo: latest_state(state, todo, key, value), process)
+
+
 PAGE_STATE = "pageid long, digest string, until_s long"
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinegrain.session import cut
+from cinegrain.session import cut, small
 
 # Signs and words that may part values; each is a candidate that a source's values accept or not.
 CANDIDATES = {
@@ -191,8 +191,9 @@ def split_values(df: DataFrame, source: str, row: str, value: str, acts: Sequenc
     that of the piece left whole; piece-count consistency is the share of its occurrences that leave no empty place.
     A candidate is accepted where parting is more regular than not; pieces around the others are joined again.
 
-    The scores are one row per source and candidate, so the table sent to all tasks is bounded by sources times the
-    number of candidates; everything else is narrow but for the removal of repeated rows. Values are parsed once.
+    The scores are one row per source and candidate; those tables go to all tasks where there are 10,000 sources at
+    most, and are joined by shuffle beyond. Everything else is narrow but for the removal of repeated rows. Values are
+    parsed once.
 
     Defined cases: null and empty values and placeholders give no rows; repeated rows count once; ``pos`` counts from
     1 over the values that are left; unclosed quotations and brackets are ordinary signs or end with the value; rows
@@ -228,7 +229,7 @@ def split_values(df: DataFrame, source: str, row: str, value: str, acts: Sequenc
         lambda i: F.struct(F.get("pieces", i)["before"].alias("cand"), F.get("pieces", i)["sep"].alias("sep"), F.get("pieces", i - 1)["shape"].alias("left"), F.get("pieces", i)["shape"].alias("right")),
     )
     near = pieces.filter("size(pieces) > 1").select("source", F.explode(pairs).alias("p")).groupBy("source", "p.cand", "p.sep", "p.left", "p.right").agg(F.count("*").alias("n"))
-    near = near.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("known_of")), "left")
+    near = near.join(small(known), F.col("source").eqNullSafe(F.col("known_of")), "left")
     regular = lambda s: F.coalesce(F.array_contains("known", s), F.lit(False))
     inner = (F.col("left") != "") & (F.col("right") != "")
     n = F.col("n")
@@ -243,7 +244,7 @@ def split_values(df: DataFrame, source: str, row: str, value: str, acts: Sequenc
     accepted = scores.filter((F.col("inner") == 0) | ((regularity * F.sqrt(consistency) > 0.05) & (F.col("parted") > F.col("whole"))))
     accepted = accepted.groupBy(F.col("source").alias("accepted_of")).agg(F.collect_set("cand").alias("accepted"))
 
-    joined = pieces.join(F.broadcast(accepted), F.col("source").eqNullSafe(F.col("accepted_of")), "left")
+    joined = pieces.join(small(accepted), F.col("source").eqNullSafe(F.col("accepted_of")), "left")
     kept = F.coalesce(F.col("accepted"), F.array().cast("array<string>"))
 
     # Pieces around a candidate that isn't accepted are joined again.

@@ -46,3 +46,10 @@ def trends_payload(titles: DataFrame, views: DataFrame, most: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "slug"))
     top = scored.filter("score > 0").withColumn("place", place).filter(F.col("place") <= most).select("kind", "slug", "place")
     return scored.join(top, ["kind", "slug"], "left")
+
+
+def live_top(viewed: DataFrame, key: str, most: int, least: int) -> DataFrame:
+    """(key, place) of the rows with the most ``views``; none at all where fewer than ``least`` have any."""
+    top = viewed.filter("views > 0").orderBy(F.desc("views"), key).limit(most)
+    placed = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("views"), key)).cast("bigint")).withColumn("n", F.count("*").over(Window.partitionBy()))
+    return placed.filter(F.col("n") >= least).select(key, "place")

@@ -68,7 +68,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff_snapshots(table(spark, sf_dir, "search_docs"), "id", SEARCH_FIELDS, second_key="pid").select("snapshot_day", "id", "change")
 
 
-@REGISTRY.query()
+P6_FIELDS_SQL = (
+    P6_SQL[: P6_SQL.index("changed as (")]
+    + """pairs as (select cur.snapshot_day, cur.id, x.field, x.same from cur join old on old.nxt = cur.snapshot_day and old.id = cur.id,
+  lateral (values ('t', cur.t = old.t), ('y', cur.y is not distinct from old.y), ('l', cur.l = old.l), ('p', cur.p = old.p), ('r', cur.r is not distinct from old.r), ('rd', cur.rd = old.rd), ('q', cur.q = old.q)) x(field, same))
+select snapshot_day, id, field from pairs where not same"""
+)
+
+
+@REGISTRY.query(P6_FIELDS_SQL)
 def p6_changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per changed field of the changed documents."""
     found = diff_snapshots(table(spark, sf_dir, "search_docs"), "id", SEARCH_FIELDS, second_key="pid")

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -55,6 +56,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df``, marked for broadcast where it is counted to have ``most`` rows at most; else left to a join by shuffle."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path for a written table in the shared folder."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")

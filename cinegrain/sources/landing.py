@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinegrain.functions.scalars import bucket_key
-from cinegrain.session import hadoop_path
+from cinegrain.session import cut, hadoop_path
 
 PAGE_SCHEMA = "pageid bigint, title string, wikitext string, thumb string, extract string, missing boolean, fetchedat string, revid bigint"
 WATCH_SCHEMA = "title string, pageid bigint, kind string, admittedat string"
@@ -48,13 +48,46 @@ def read_title(spark: SparkSession, path: str, kind: str, slug: str) -> DataFram
     return spark.read.parquet(path).filter((F.col("kind") == kind) & (F.col("bucket") == bucket) & (F.col("slug") == slug))
 
 
+def write_buckets(rows: DataFrame, path: str, name: str) -> None:
+    """Rows by the first letter of a name, the folder replaced as a whole."""
+    letter = bucket_key(F.col(name))
+    rows.withColumn("bucket", F.when(letter == "#", "_").otherwise(letter)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_bucket(spark: SparkSession, path: str, name: str, first: str) -> DataFrame:
+    """The rows whose name begins with a letter, by a scan that is pruned to it."""
+    bucket = first[:1].upper() if "A" <= first[:1].upper() <= "Z" else "_"
+    return spark.read.parquet(path).filter(F.col("bucket") == bucket).drop("bucket")
+
+
+def append_watchlist(rows: DataFrame, path: str) -> DataFrame:
+    """Append the entries (title, pageid, kind) whose page id the watchlist lacks, one row each; returns the whole list."""
+    spark = rows.sparkSession
+    fresh = rows.groupBy("pageid").agg(F.min_by(F.struct("title", "kind"), "title").alias("r")).select("r.title", "pageid", "r.kind")
+    files, at = hadoop_path(spark, path)
+    if files.exists(at):
+        fresh = fresh.join(spark.read.parquet(path).select("pageid"), "pageid", "left_anti").select("title", "pageid", "kind")
+    cut(fresh).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def consume_once(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The rows of a table that is read once: it is renamed first, so that a repeated run finds none."""
+    """The rows of a table that is read once: it is renamed, and deleted by ``consumed`` when its rows are dealt with.
+
+    A run that dies in between leaves the renamed table; the next run reads that one first, and rows written since wait
+    for the run after. Without either there are no rows.
+    """
     files, at = hadoop_path(spark, path)
-    if not files.exists(at):
-        return spark.createDataFrame([], schema)
     taken = f"{path}.taken"
     _, to = hadoop_path(spark, taken)
-    files.delete(to, True)
-    files.rename(at, to)
+    if not files.exists(to):
+        if not files.exists(at):
+            return spark.createDataFrame([], schema)
+        files.rename(at, to)
     return spark.read.schema(schema).parquet(taken)
+
+
+def consumed(spark: SparkSession, path: str) -> None:
+    """Say that the rows of ``consume_once`` are dealt with."""
+    files, to = hadoop_path(spark, f"{path}.taken")
+    files.delete(to, True)

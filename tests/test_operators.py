@@ -152,3 +152,41 @@ def test_category_walk_and_merge(spark):
     assert out == {"a": 0, "b": 1, "c": 2}
     left, right = spark.createDataFrame([("x", 1)], "name string, n int"), spark.createDataFrame([("x", 2), ("y", 3)], "name string, n int")
     assert {(r["name"], r["n"]) for r in resolve.merge_ranked([left, right], ["name"], ["n"]).collect()} == {("x", 1), ("y", 3)}
+
+
+def test_tables_read_once(spark):
+    from cinegrain.session import scratch_path
+    from cinegrain.sources.landing import consume_once, consumed
+
+    path = scratch_path(spark, "dirty")
+    ids = lambda: sorted(r["id"] for r in consume_once(spark, path, "id string").collect())
+    assert ids() == []
+    spark.createDataFrame([("a",)], "id string").write.parquet(path)
+    assert ids() == ["a"] and ids() == ["a"]  # a run that died is repeated
+    spark.createDataFrame([("b",)], "id string").write.parquet(path)
+    assert ids() == ["a"]
+    consumed(spark, path)
+    assert ids() == ["b"]
+    consumed(spark, path)
+    assert ids() == []
+
+
+def test_waves(spark):
+    from cinegrain.operators.frontier import expand
+
+    links = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("c", "d"), ("b", "e"), ("e", "f"), ("x", "y"), (None, "z"), ("a", None)], "source string, target string")
+    verdicts = spark.createDataFrame([("b", "accepted"), ("c", "rejected"), ("e", "accepted"), ("f", "accepted")], "node string, status string")
+    seeds = spark.createDataFrame([("a",), ("a",), (None,)], "node string")
+    out = {r["node"]: (r["status"], r["wave"], r["refs"]) for r in expand(seeds, links, verdicts, 2).collect()}
+    assert out == {"a": ("accepted", 0, 0), "b": ("accepted", 1, 1), "c": ("rejected", 1, 1), "e": ("accepted", 2, 1)}
+    assert expand(seeds.limit(0), links, verdicts, 2).count() == 0
+
+
+def test_group_ranks(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.randint(0, 50), i) for i in range(300)]
+    out = delta.group_rank(spark.createDataFrame(rows, "g string, v int, i int"), ["g"], [F.desc("v"), F.col("i")]).collect()
+    for g in ("hot", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        got = sorted((r for r in out if r["g"] == g), key=lambda r: r["rank"])
+        assert [r["i"] for r in got] == [r[2] for r in own] and {r["count"] for r in got} == {len(own)} and [r["rank"] for r in got] == list(range(len(own)))
