@@ -106,7 +106,8 @@ def _collapse(text: str) -> str:
 
 def _strip_tex(text: str) -> str:
     """LaTeX inline markup as plain text: notes and citations go, labels and arguments stay."""
-    for _ in range(20):
+    old = None
+    while text != old:  # every change takes a backslash or a brace away
         old = text
         text = re.sub(r"\\(?:cite[a-z]*|footnote|label|ref|index|includegraphics|vspace|hspace)\*?(?:\[[^\]]*\])*\{[^{}]*\}", "", text)
         text = re.sub(r"\\href\{[^{}]*\}\{([^{}]*)\}", r"\1", text)
@@ -115,8 +116,6 @@ def _strip_tex(text: str) -> str:
         text = re.sub(r"\\([cv])\{([A-Za-z])\}", lambda m: unicodedata.normalize("NFC", m[2] + _ACCENTS[m[1]]), text)
         text = re.sub(r"\\textbackslash(?:\{\})?", lambda m: "\ue1f0", text)
         text = re.sub(r"\\(?:text[a-z]{2}|emph|underline|mbox|url|textrm|texttt|enquote)\{([^{}]*)\}", r"\1", text)
-        if text == old:
-            break
     text = re.sub(r"(?<!\\)~", " ", text).replace("---", "—").replace("--", "–").replace("``", "“").replace("''", "”")
     text = text.replace("\\ldots", "…").replace("\\\\", " ")
     text = re.sub(r"\\([&%$#_{}~^])(?:\{\})?", r"\1", text)
@@ -174,19 +173,17 @@ def elements(text: str | None, kind: str | None = None) -> list[tuple[str, str]]
         return hold("formula", inner)
 
     text = _SCANNERS[kind].sub(scan, text)
-    for _ in range(50):
+    n = 1  # each round takes what is innermost, until nothing is left; every hit shortens the text or ends a mark
+    while n:
         text, n = _TEMPLATE.subn("", text)
-        if not n:
-            break
-    for _ in range(20):
+    n = 1
+    while n:
         text, n = _TABLE.subn("", text)
         text, m = _HTML_TABLE.subn("\n", text)
-        if not n + m:
-            break
-    for _ in range(10):
+        n += m
+    n = 1
+    while n:
         text, n = _LINK.subn(lambda m: "" if _HIDDEN_LINK.match(m[1]) else (m[1].partition("|")[2] or m[1].lstrip(":")), text)
-        if not n:
-            break
     text = _HEADING.sub(lambda m: f"\n{_H}" + m[2].replace("\n", " ") + "\n", text)
     text = _BLOCK.sub("\n", _LI.sub(lambda m: f"\n{_I}" + m[1].replace("\n", " ") + "\n", text))
 
