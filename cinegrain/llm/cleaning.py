@@ -34,7 +34,7 @@ def text_elements(texts: DataFrame) -> DataFrame:
     the elements, a fraction of the text, are shuffled to drop repeated rows.
 
     Defined cases: a null or empty text has no rows, as has one without markup; a row given twice counts once (of
-    rows that share src and row_id but not the text, one is kept); rows with a null row_id are treated as one row.
+    rows that share src and row_id but not the text, the greatest list of elements); rows with a null row_id are treated as one row.
     """
 
     def run(batches):
@@ -44,7 +44,7 @@ def text_elements(texts: DataFrame) -> DataFrame:
 
     schema = T.StructType([T.StructField("src", T.StringType()), T.StructField("row_id", T.LongType()), T.StructField("found", _FOUND)])
     rows = texts.select("src", "row_id", "markup", "text").filter("text is not null and text <> ''").mapInArrow(run, schema)
-    once = rows.filter("size(found) > 0").dropDuplicates(["src", "row_id"])
+    once = rows.filter("size(found) > 0").groupBy("src", "row_id").agg(F.max("found").alias("found"))
     return once.select("src", "row_id", F.explode("found").alias("e")).select("src", "row_id", "e.kind", "e.pos", "e.content")
 
 
@@ -98,9 +98,9 @@ def page_differences(pages: DataFrame, key: str, host: str, path: str, text: str
     rows = pages.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.col(text).alias("text"))
     near = neighbours(rows.groupBy("host", "path").agg(F.max("key").alias("last")))
     # Texts are moved by key alone: once to their page, once to the neighbour's key, and those that stand for a path.
-    whose = rows.select("key", "host", "path").join(near, ["host", "path"], "left").select("key", F.col("near").alias("other_key")).dropDuplicates(["key"])
+    whose = rows.select("key", "host", "path").join(near, ["host", "path"], "left").groupBy("key").agg(F.max("near").alias("other_key"))
     stands = near.select(F.col("near").alias("other_key")).distinct()
-    other = rows.select(F.col("key").alias("other_key"), F.col("text").alias("other")).join(stands, "other_key", "left_semi").dropDuplicates(["other_key"])
+    other = rows.select(F.col("key").alias("other_key"), F.col("text").alias("other")).join(stands, "other_key", "left_semi").groupBy("other_key").agg(F.max("other").alias("other"))
     pairs = rows.select("key", "text").join(whose, "key", "left").join(other, "other_key", "left").select(F.col("key").cast("string").alias("key"), "text", F.col("other_key").cast("string").alias("near"), "other")
     found = pairs.mapInPandas(run, "key string, near string, n long, s long, t string")
     kind = pages.schema[key].dataType

@@ -60,7 +60,7 @@ def training_chunks(docs: DataFrame, key: str, text: str, label: str, per_langua
     return languages, chunks, np.array([number[r["code"]] for r in rows], np.int64)
 
 
-def fitted(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 400, per_document: int = 5, hidden: int = 12, steps: int = 360) -> ByteGru | None:
+def fitted(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 600, per_document: int = 5, hidden: int = 12, steps: int = 540) -> ByteGru | None:
     """A network trained on a bounded sample; None without labels.
 
     Labels may be wrong: after two thirds of the steps, chunks whose label the network finds unlikely are set aside,
