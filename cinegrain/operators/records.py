@@ -54,9 +54,11 @@ def season_episodes(payload: Column, season: Column) -> Column:
 
 
 def fill_episodes(own: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
-    """Empty summaries and runtimes filled from another source by season (1 where missing) and number."""
+    """Empty summaries and runtimes filled from another source by season (1 where missing) and number; of several
+    rows of one number there the least counts."""
     left = own.withColumn("season_key", F.coalesce("season", F.lit(1)))
-    right = other.select(*by, F.coalesce("season", F.lit(1)).alias("season_key"), "number", F.col("summary").alias("s2"), F.col("runtime").alias("r2")).dropDuplicates([*by, "season_key", "number"])
+    right = other.select(*by, F.coalesce("season", F.lit(1)).alias("season_key"), "number", "summary", "runtime")
+    right = right.groupBy(*by, "season_key", "number").agg(F.min(F.struct("summary", "runtime")).alias("r")).select(*by, "season_key", "number", F.col("r.summary").alias("s2"), F.col("r.runtime").alias("r2"))
     joined = left.join(right, [*by, "season_key", "number"], "left")
     return joined.withColumn("summary", or_else(F.col("summary"), F.col("s2"))).withColumn("runtime", F.coalesce(F.nullif("runtime", F.lit("")), F.col("r2").cast("string"))).drop("s2", "r2", "season_key")
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinegrain.operators.delta import group_rank
 from cinegrain.session import cut
 
 
@@ -81,12 +82,26 @@ def issue_slugs(records: DataFrame, base: str, order: list[str]) -> DataFrame:
     """The records with ``slug``: the base, or the base with the first free -2, -3, ... in the total order.
 
     All issued slugs count, so a natural ``x-2`` can take the place of a second ``x``. A base and its followers stay
-    within the family of the base without trailing numbers, so families are issued apart from each other. A family
-    keeps only its set of issued slugs in memory while its rows stream by in order.
+    within the family of the base without trailing numbers, so families are issued apart from each other. In a family
+    of one base that has no number itself nothing can come in between, so its records are numbered by their rank, which
+    ranges give: a base of any size is spread over tasks. Only families of several bases are read in order, each by one
+    task that keeps its set of issued slugs.
     """
     root = F.regexp_replace(base, r"(?:-\d+)+$", "")
-    keys = [F.col(c) for c in order]
-    parts = records.withColumn("_family", root).repartition("_family").sortWithinPartitions("_family", *keys)
+    rows = records.withColumn("_family", root)
+    bases = rows.groupBy("_family").agg(F.min(base).alias("_least"), F.max(base).alias("_most"))
+    plain = bases.filter("_least = _most and _least = _family").select(F.col("_family").alias("_plain"))
+    alone = rows.join(plain, F.col("_family") == F.col("_plain"), "left_semi")
+    ranked = group_rank(alone, ["_family"], [F.col(c) for c in order])
+    number = F.when(F.col("rank") == 0, F.col(base)).otherwise(F.concat(base, F.lit("-"), (F.col("rank") + 1).cast("string")))
+    easy = ranked.withColumn("slug", number).select(*records.columns, "slug")
+    hard = rows.join(plain, F.col("_family") == F.col("_plain"), "left_anti")
+    return easy.unionByName(_in_order(hard, base, order))
+
+
+def _in_order(rows: DataFrame, base: str, order: list[str]) -> DataFrame:
+    """Slugs of the records of each family, issued one after the other."""
+    parts = rows.repartition("_family").sortWithinPartitions("_family", *order)
     schema = T.StructType([*parts.schema.fields, T.StructField("slug", T.StringType())])
 
     def run(frames):

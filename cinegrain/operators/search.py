@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cinegrain.session import cut
+
 K1, B = 1.2, 0.75
 BOOST = {"t": 3.0, "q": 1.0}
 
@@ -66,6 +68,22 @@ def find(index: DataFrame, wanted: str, fuzzy: float = 0.2, fields: list[str] =
     return index.filter(F.col("field").isin(*fields) & matches(F.col("word"), wanted.lower(), fuzzy)).select("id").distinct()
 
 
+def write_index(index: DataFrame, path: str) -> None:
+    """Keep an index: its words, and the postings by the first letter of the word."""
+    first = F.substring("word", 1, 1)
+    index.select("field", "word").distinct().write.mode("overwrite").parquet(f"{path}/words")
+    index.withColumn("letter", F.when(first.rlike("^[a-z0-9]$"), first).otherwise("_")).repartition("letter", "word").write.mode("overwrite").partitionBy("letter").parquet(f"{path}/postings")
+
+
+def find_written(spark: SparkSession, path: str, wanted: str, fuzzy: float = 0.2, fields: list[str] = ("t", "q")) -> DataFrame:
+    """``find`` on a kept index: words are compared with the list of words only, and then the postings of the letters
+    that matched, 37 at most, are read for the matching words."""
+    words = cut(spark.read.parquet(f"{path}/words").filter(F.col("field").isin(*fields) & matches(F.col("word"), wanted.lower(), fuzzy)))
+    first = F.substring("word", 1, 1)
+    letters = [r[0] for r in words.select(F.when(first.rlike("^[a-z0-9]$"), first).otherwise("_")).distinct().collect()]
+    return spark.read.parquet(f"{path}/postings").filter(F.col("letter").isin(*letters)).join(words, ["field", "word"], "left_semi").select("id").distinct()
+
+
 def ranked(docs: DataFrame, index: DataFrame, query: str, most: int, fuzzy: float = 0.2) -> DataFrame:
     """(k, place, id, score) of the best documents for any word of the query, grouped by kind; ``place`` is the hit's.
 

@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from cinegrain.markup.udfs import exploded
+from cinegrain.operators.delta import global_rank
 from cinegrain.operators.records import merge_subpages
 from cinegrain.plans.registry import Registry
 
@@ -185,6 +186,27 @@ for _name, (_text, _family, _columns, _rows) in CASES.items():
     REGISTRY.add(_name, _case(_text, _family, _columns), expected(_columns, _rows))
 
 
+def _awards(spark: SparkSession):
+    return exploded(spark.createDataFrame([(1, AWARDS)], "page int, text string"), "page", "text", "awards")
+
+
+AWARDS_SQL = expected(CASES["case_awards"][2], AWARDS_ROWS)
+
+
+@REGISTRY.query(f"select count(*) filter (result = 'won') wins, count(*) filter (result = 'nominated') nominations, count(*) n_rows from ({AWARDS_SQL})")
+def case_award_totals(spark: SparkSession, _: str):
+    """Wins and nominations; a row without result is neither."""
+    return _awards(spark).agg(F.count_if(F.col("result") == "won").alias("wins"), F.count_if(F.col("result") == "nominated").alias("nominations"), F.count("*").alias("n_rows"))
+
+
+@REGISTRY.query(f"select row_number() over (order by coalesce(try_cast(left(year, 4) as int), -1) desc, award, pos) place, award, coalesce(category, '') category from ({AWARDS_SQL})")
+def case_award_order(spark: SparkSession, _: str):
+    """Awards as a page lists them: the latest year first, those without year last, then by name."""
+    year = F.coalesce(F.left("year", F.lit(4)).try_cast("int"), F.lit(-1))
+    ranked = global_rank(_awards(spark), [F.desc(year), F.col("award"), F.col("pos")])
+    return ranked.select((F.col("rank") + 1).alias("place"), "award", F.coalesce("category", F.lit("")).alias("category"))
+
+
 SUBPAGE = """== Film ==
 * [[Alpha (film)|Alpha]]
 * [[Theta]]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cinegrain.functions import scalars as S
 from cinegrain.operators import delta, ranking, resolve, search, trends
 from cinegrain.plans.registry import Registry
-from cinegrain.session import table
+from cinegrain.session import scratch_path, table
 
 REGISTRY = Registry()
 YEAR_NOW = 2026
@@ -480,6 +480,14 @@ def search_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return search.find(search.postings(day_docs(spark, d)), "latern", fuzzy=0.2, fields=["t"]).select("id")
 
 
+@REGISTRY.query(f"select distinct id from {LAST_DAY}, unnest(regexp_split_to_array(lower(t), '[^a-z0-9]+')) x(w) where w like 'latern%' or levenshtein(w, 'latern') <= 1")
+def search_written(spark: SparkSession, d: str) -> DataFrame:
+    """The same words by an index that is kept."""
+    path = scratch_path(spark, "search-index")
+    search.write_index(search.postings(day_docs(spark, d)), path)
+    return search.find_written(spark, path, "latern", fuzzy=0.2, fields=["t"])
+
+
 @REGISTRY.query()
 def search_ranked(spark: SparkSession, d: str) -> DataFrame:
     """The best 60 documents of a query over titles and names, grouped by kind."""

@@ -50,11 +50,6 @@ def change_feed(spark: SparkSession, d: str) -> DataFrame:
     return changes_since(feed, None, today)
 
 
-@REGISTRY.query(f"select pageid, count(*) n, count(*) filter (where role = 'clerk') won, count(*) filter (where role = 'doctor') nominated from {PEOPLE} group by 1")
-def award_counts(spark: SparkSession, d: str) -> DataFrame:
-    return people(spark, d).groupBy("pageid").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "clerk").alias("won"), F.count_if(F.col("role") == "doctor").alias("nominated"))
-
-
 @REGISTRY.query("select l_suppkey, y, n, row_number() over (order by y desc, l_suppkey) place from (select l_suppkey, max(year(l_shipdate)) y, count(*) n from lineitem group by 1)")
 def ceremony_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups ordered by their newest year."""

@@ -15,6 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -62,9 +63,19 @@ def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most else kept
 
 
+def _scratch(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), f"cinegrain-{spark.sparkContext.applicationId}")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path for a written table in the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A new path for a written table in the application's part of the shared folder."""
+    return os.path.join(_scratch(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables this application has written there; call it when no result is read any more."""
+    files, at = hadoop_path(spark, _scratch(spark))
+    files.delete(at, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
