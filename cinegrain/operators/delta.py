@@ -18,6 +18,12 @@ def plan_refresh(previous: DataFrame, current: DataFrame) -> DataFrame:
     return current.join(before, "pageid", "left").select("pageid", action.alias("action")).filter("action is not null")
 
 
+def refresh_list(planned: DataFrame, forced: DataFrame) -> DataFrame:
+    """(pageid, action): the planned pages, and those forced (pageid) besides, each once; null pages don't count."""
+    more = forced.filter("pageid is not null").select("pageid").distinct().join(planned.select("pageid"), "pageid", "left_anti")
+    return planned.select("pageid", "action").unionByName(more.select("pageid", F.lit("forced").alias("action")))
+
+
 def plan_renames(cached: DataFrame, live: DataFrame) -> DataFrame:
     """(pageid, old_title, new_title) of pages whose live title is another."""
     return cached.select("pageid", F.col("title").alias("old_title")).join(live.select("pageid", F.col("title").alias("new_title")), "pageid").filter("old_title <> new_title")

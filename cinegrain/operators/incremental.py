@@ -74,13 +74,18 @@ class StateStore:
         rows.write.parquet(f"{self.path}/{name}")
         return name
 
-    def swap(self, version: str, output: str | None = None) -> None:
+    def buckets(self) -> dict[str, str]:
+        """Where each bucket of a bucketed state lies; see ``merge_buckets``."""
+        number = self.commit_number()
+        return self._commit(number).get("buckets") or {} if number else {}
+
+    def swap(self, version: str, output: str | None = None, buckets: dict[str, str] | None = None) -> None:
         """Make a staged version, and an output, valid; fails if another run has committed since it was staged."""
         number = int(version.split("-")[1])
         jvm = self.spark.sparkContext._jvm
         files, new = hadoop_path(self.spark, f"{self.path}/.commit-{uuid.uuid4().hex}")
         stream = files.create(new, True)
-        stream.write(bytearray(json.dumps({"state": version, "output": output}).encode()))
+        stream.write(bytearray(json.dumps({"state": version, "output": output, "buckets": buckets}).encode()))
         stream.close()
         _, target = hadoop_path(self.spark, f"{self.path}/commits/{number:012}")
         files.mkdirs(target.getParent())
@@ -99,10 +104,12 @@ class StateStore:
 
     def _tidy(self, number: int) -> None:
         """Delete what commits before ``number`` left behind: old states, and tables of runs that never committed."""
+        last = [self._commit(n) for n in range(max(1, number - self.keep + 1), number + 1)]
+        used = {c["state"] for c in last} | {path.split("/")[0] for c in last for path in (c.get("buckets") or {}).values()}
         for name in self._listed(self.path):
             what, _, rest = name.partition("-")
             at = int(rest[:12]) if rest[:12].isdigit() else number
-            if at < number and (name != self._commit(at).get(what) or what == "state" and at <= number - self.keep):
+            if at < number and name not in used and not (what == "output" and name == self._commit(at)["output"]):
                 self._drop(name)
 
 
@@ -152,6 +159,28 @@ def run_selected(store: StateStore, schema, select, advance, process):
     return store.spark.read.parquet(f"{store.path}/{output}") if output else done
 
 
+def merge_buckets(store: StateStore, schema, fresh: DataFrame, key: str, merge, n: int = 64) -> None:
+    """Merge rows into a state that lies in ``n`` buckets by a hash of the key, and commit.
+
+    Only the buckets that the fresh rows touch are read, merged and written anew; the others stay where they are, so a
+    small batch costs in proportion to itself. ``merge`` gets the old rows of these buckets and the fresh ones.
+    """
+    number, held = store.commit_number(), store.buckets()
+    bucket = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    touched = sorted(r[0] for r in fresh.select(bucket).distinct().collect())
+    paths = [f"{store.path}/{held[str(b)]}" for b in touched if str(b) in held]
+    old = store.spark.read.schema(schema).parquet(*paths) if paths else store.spark.createDataFrame([], schema)
+    name = f"state-{number + 1:012}-{uuid.uuid4().hex}"
+    merge(old, fresh).withColumn("_bucket", bucket).repartition(max(1, len(touched)), "_bucket").write.partitionBy("_bucket").parquet(f"{store.path}/{name}")
+    store.swap(name, buckets=held | {str(b): f"{name}/_bucket={b}" for b in touched})
+
+
+def read_buckets(store: StateStore, schema) -> DataFrame:
+    """The whole state of ``merge_buckets``."""
+    paths = [f"{store.path}/{path}" for path in store.buckets().values()]
+    return store.spark.read.schema(schema).parquet(*paths) if paths else store.spark.createDataFrame([], schema)
+
+
 def run_incremental(store: StateStore, current: DataFrame, key: str, digest: str, process, order: str | None = None):
     """Process the records of ``current`` that are new or changed against the store's state; see ``run_selected``."""
     schema = current.select(key, digest).schema

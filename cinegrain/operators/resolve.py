@@ -67,6 +67,16 @@ def canonical(df: DataFrame, resolved: DataFrame, title: str) -> DataFrame:
     return df.join(ends, title, "left").withColumn("canonical", F.coalesce("_end", title)).drop("_end")
 
 
+def page_ids(wanted: DataFrame, resolved: DataFrame, pages: DataFrame, title: str) -> DataFrame:
+    """(title, canonical, pageid) of each wanted title: the page at the end of redirects, -1 where there is none.
+
+    ``pages`` is (title, pageid); of several pages of one title the least id counts. Null titles have no row.
+    """
+    ends = canonical(wanted.filter(F.col(title).isNotNull()).select(title).distinct(), resolved, title)
+    ids = pages.groupBy(F.col("title").alias("canonical")).agg(F.min("pageid").alias("pageid"))
+    return ends.join(ids, "canonical", "left").select(title, "canonical", F.coalesce("pageid", F.lit(-1)).cast("bigint").alias("pageid"))
+
+
 def unique_names(people: DataFrame, name: str, key: str) -> DataFrame:
     """(name, key) of names that one key alone has."""
     return people.filter(F.col(name).isNotNull()).groupBy(name).agg(F.min(key).alias(key), F.max(key).alias("_other")).filter(F.col(key) == F.col("_other")).drop("_other")

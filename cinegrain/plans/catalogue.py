@@ -99,6 +99,17 @@ def plan_refresh(spark: SparkSession, d: str) -> DataFrame:
     return delta.plan_refresh(before, now.select("pageid", "revid"))
 
 
+@REGISTRY.query(
+    f"""with planned as (select n.pageid, case when b.pageid is null then 'added' else 'changed' end as action from {NOW} n left join {BEFORE} b on b.pageid = n.pageid where b.pageid is null or b.revid is distinct from n.revid)
+select pageid, action from planned union all select distinct pageid, 'forced' from cache_entries join refresh_runs using (run_id) where status = 'failed' and pageid not in (select pageid from planned)"""
+)
+def refresh_list(spark: SparkSession, d: str) -> DataFrame:
+    """What is fetched again: what the poll shows, and what runs that failed had begun."""
+    before, now = _revids(spark, d)
+    failed = table(spark, d, "cache_entries").join(table(spark, d, "refresh_runs").filter("status = 'failed'").select("run_id"), "run_id", "left_semi")
+    return delta.refresh_list(delta.plan_refresh(before, now.select("pageid", "revid")), failed)
+
+
 @REGISTRY.query(f"select b.pageid, b.title old_title, t.wikititle new_title from {NOW} b join {TITLES} t on t.pageid = b.pageid where b.title <> t.wikititle")
 def plan_renames(spark: SparkSession, d: str) -> DataFrame:
     return delta.plan_renames(_revids(spark, d)[1], titles(spark, d).select("pageid", F.col("wikititle").alias("title")))
@@ -418,6 +429,13 @@ def canonical_cast(spark: SparkSession, d: str) -> DataFrame:
     return linked.join(titles(spark, d).select(F.col("wikititle").alias("canonical"), "slug"), "canonical", "left").select("entry_id", "canonical", "slug")
 
 
+@REGISTRY.query(f"select w.wikititle, coalesce(c.final_title, w.wikititle) canonical, coalesce(t.pageid, -1) pageid from (select distinct wikititle from {PEOPLE} where wikititle is not null union select from_title from redirects where from_title <> '') w left join ({CHAIN_SQL}) c on c.from_title = w.wikititle left join {TITLES} t on t.wikititle = coalesce(c.final_title, w.wikititle)")
+def page_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The page of every title that is linked or redirects, -1 where there is none."""
+    linked = people(spark, d).select("wikititle").unionByName(table(spark, d, "redirects").filter("from_title <> ''").select(F.col("from_title").alias("wikititle")))
+    return resolve.page_ids(linked, resolve.resolve_titles(table(spark, d, "redirects")), titles(spark, d).select(F.col("wikititle").alias("title"), "pageid"), "wikititle")
+
+
 @REGISTRY.query()
 def slug_registry(spark: SparkSession, d: str) -> DataFrame:
     """Slugs of all titles of a kind, issued in page id order."""

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cinegrain.operators.incremental import StateStore
-from cinegrain.session import scratch_path
+from cinegrain.operators.incremental import StateStore, merge_buckets, read_buckets
+from cinegrain.session import cut, scratch_path
 
 COLUMNS = ["pageid", "revid", "fetchedat", "title"]
 
@@ -22,14 +22,18 @@ def newest_of(pages: DataFrame) -> DataFrame:
 def refresh_stream(spark: SparkSession, source: str, schema: StructType, store: StateStore, checkpoint: str, files_per_batch: int = 100) -> None:
     """Take in what has landed since the last run and stop.
 
-    Each batch is merged with the valid state into a new version, which is swapped in at once. A batch that is
-    repeated after a failure merges to the same state, so no page is skipped or counted twice.
+    Each batch is merged with the buckets of the valid state that it touches, and these are swapped in at once. A batch
+    that is repeated after a failure merges to the same state, so no page is skipped or counted twice.
     """
+    held = StructType([schema[c] for c in COLUMNS])
+
+    def newest(old: DataFrame, fresh: DataFrame) -> DataFrame:
+        return newest_of(old.unionByName(fresh).withColumn("missing", F.lit(False)))
 
     def merge(batch: DataFrame, _: int) -> None:
-        fresh = newest_of(batch).withColumn("missing", F.lit(False))
-        old = store.read(StructType([schema[c] for c in COLUMNS])).select(*COLUMNS).withColumn("missing", F.lit(False))
-        store.swap(store.stage(newest_of(old.unionByName(fresh))))
+        fresh = cut(newest_of(batch))
+        if fresh.head(1):
+            merge_buckets(store, held, fresh, "pageid", newest)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -41,7 +45,7 @@ def run_refresh(spark: SparkSession, source: str) -> DataFrame:
     schema = spark.read.parquet(source).schema
     store = StateStore(spark, scratch_path(spark, "refresh-state"))
     refresh_stream(spark, source, schema, store, scratch_path(spark, "refresh-offsets"))
-    return store.read(StructType([schema[c] for c in COLUMNS])).select(*COLUMNS)
+    return read_buckets(store, StructType([schema[c] for c in COLUMNS])).select(*COLUMNS)
 
 
 def changes_since(feed: DataFrame, last_day: str | None, today: str, back: int = 14) -> DataFrame:

@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from cinegrain.operators.incremental import StaleRunError, StateStore, changed_records, content_hash, newest_versions, page_state, pending_pages, run_incremental, run_pages
+from cinegrain.operators.incremental import StaleRunError, StateStore, changed_records, content_hash, merge_buckets, newest_versions, page_state, pending_pages, read_buckets, run_incremental, run_pages
 from cinegrain.operators.snapshot_diff import diff_snapshots
 from cinegrain.operators.split_values import acts_pattern, atoms, neat, split_values
 from cinegrain.session import scratch_path
@@ -151,3 +151,17 @@ def test_page_runs_follow_each_other(spark):
     more = first + [(1, 6, "2026-01-05T00:00:00Z", None), (2, None, "2026-01-03T00:00:00.4Z", None), (3, 1, "2026-01-05T00:00:00Z", None)]
     assert {tuple(r) for r in run_pages(store, spark.createDataFrame(more, schema)).collect()} == {(1, "changed"), (3, "added")}
     assert run_pages(store, spark.createDataFrame(first, schema)).count() == 0
+
+
+def test_buckets_that_are_touched(spark):
+    store, schema = StateStore(spark, scratch_path(spark, "buckets")), "k long, v string"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    last = lambda old, fresh: old.join(fresh.select("k"), "k", "left_anti").unionByName(fresh)
+    assert read_buckets(store, schema).count() == 0
+    merge_buckets(store, schema, rows(*[(i, "a") for i in range(40)]), "k", last, n=8)
+    before = store.buckets()
+    merge_buckets(store, schema, rows((3, "b"), (99, "b")), "k", last, n=8)
+    assert sum(before[b] != at for b, at in store.buckets().items()) <= 2
+    for _ in range(3):
+        merge_buckets(store, schema, rows((5, "c")), "k", last, n=8)
+    assert {r["k"]: r["v"] for r in read_buckets(store, schema).collect()} == {i: "a" for i in range(40)} | {3: "b", 99: "b", 5: "c"}
