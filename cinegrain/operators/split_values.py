@@ -119,9 +119,11 @@ def atoms(raw: str, acts: re.Pattern | None) -> list[tuple[str, str, str]]:
         text = text[m.end() :]
     whole = {m.start(): m.end() for m in acts.finditer(text)} if acts else {}
     out, piece, before, sep, at, opened = [], [], "", "", 0, False
+    blank, looked = True, 0  # whether the piece has only white space yet, and how much of it was looked at
     while at < len(text):
         c = text[at]
-        blank = not "".join(piece).strip()
+        if blank and looked < len(piece):
+            blank, looked = not any(p.strip() for p in piece[looked:]), len(piece)
         if at in whole:
             piece.append(text[at : whole[at]])
             at = whole[at]
@@ -135,7 +137,7 @@ def atoms(raw: str, acts: re.Pattern | None) -> list[tuple[str, str, str]]:
         elif c in _QUOTES and blank and (end := _quoted(text, at)):
             piece.append(_bare(text[at + 1 : end - 1].replace('""', '"')))
             at = end
-        elif _REMARK.match(text, at):
+        elif c in _CLOSER and _REMARK.match(text, at):
             end = text.find(_CLOSER[c], at)
             end = len(text) if end < 0 else end + 1
             piece.append(text[at:end])
@@ -143,6 +145,7 @@ def atoms(raw: str, acts: re.Pattern | None) -> list[tuple[str, str, str]]:
         elif m := _SEPARATOR.match(text, at):
             out.append((before, sep, "".join(piece)))
             piece, before, sep = [], _NAMES[m.lastindex - 1], m[0]
+            blank, looked = True, 0
             opened = opened or "(" in m[0] or "[" in m[0]
             at = m.end()
         elif c in ")]" and opened:
@@ -204,14 +207,12 @@ def split_values(df: DataFrame, source: str, row: str, value: str, acts: Sequenc
     @F.pandas_udf(_PIECES)
     def parse(values):
         pattern = acts_pattern(names)
-        out = []
+        seen: dict[str, list[dict]] = {}  # equal values of a batch are parsed once
         for raw in values:
-            row = []
-            for before, sep, piece in atoms(raw, pattern) if raw and neat(visible(raw)) else ():
-                val = neat(piece)
-                row.append({"before": before, "sep": sep, "raw": piece, "val": val, "shape": shape(val)})
-            out.append(row)
-        return pd.Series(out)
+            if raw not in seen:
+                pieces = [(before, sep, piece, neat(piece)) for before, sep, piece in (atoms(raw, pattern) if neat(visible(raw)) else ())]
+                seen[raw] = [{"before": before, "sep": sep, "raw": piece, "val": val, "shape": shape(val)} for before, sep, piece, val in pieces]
+        return pd.Series([seen[raw] for raw in values])
 
     rows = df.select(F.col(source).alias("source"), F.col(row).alias("row"), F.col(value).alias("value")).filter("value is not null and value <> ''").distinct()
     pieces = cut(rows.select("source", "row", parse("value").alias("pieces")))
