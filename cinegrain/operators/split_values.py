@@ -5,8 +5,9 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterable, Sequence
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -171,6 +172,7 @@ def neat(piece: str) -> str:
     return "" if value.lower() in PLACEHOLDERS else value
 
 
+@lru_cache(maxsize=100_000)
 def shape(value: str) -> str:
     """The type of a piece: its words by kind, without a remark in brackets or an inner nickname."""
     value = re.sub(r"\([^)]*\)|\"[^\"]*\"", " ", value)
@@ -182,7 +184,8 @@ def shape(value: str) -> str:
     return " ".join(words)
 
 
-_PIECES = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("before", "sep", "raw", "val", "shape")]))
+_FIELDS = ["before", "sep", "raw", "val", "shape"]
+_PIECES = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in _FIELDS]))
 
 
 def split_values(df: DataFrame, source: str, row: str, value: str, acts: Sequence[str] = (), least_share: float = 0.005) -> DataFrame:
@@ -204,18 +207,24 @@ def split_values(df: DataFrame, source: str, row: str, value: str, acts: Sequenc
     """
     names = sorted({a for a in acts if a})
 
-    @F.pandas_udf(_PIECES)
-    def parse(values):
+    def parse(batches):
         pattern = acts_pattern(names)
-        seen: dict[str, list[dict]] = {}  # equal values of a batch are parsed once
-        for raw in values:
-            if raw not in seen:
-                pieces = [(before, sep, piece, neat(piece)) for before, sep, piece in (atoms(raw, pattern) if neat(visible(raw)) else ())]
-                seen[raw] = [{"before": before, "sep": sep, "raw": piece, "val": val, "shape": shape(val)} for before, sep, piece, val in pieces]
-        return pd.Series([seen[raw] for raw in values])
+        for batch in batches:
+            seen: dict[str, list[tuple]] = {}  # equal values of a batch are parsed once
+            columns, ends = [[] for _ in _FIELDS], [0]
+            for raw in batch.column(2).to_pylist():
+                if raw not in seen:
+                    found = atoms(raw, pattern) if neat(visible(raw)) else ()
+                    pieces = [(before, sep, piece, val, shape(val)) for before, sep, piece in found for val in [neat(piece)]]
+                    seen[raw] = list(zip(*pieces)) or [()] * len(_FIELDS)
+                for column, more in zip(columns, seen[raw]):
+                    column.extend(more)
+                ends.append(len(columns[0]))
+            flat = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], names=_FIELDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["source", "row", "pieces"])
 
     rows = df.select(F.col(source).alias("source"), F.col(row).alias("row"), F.col(value).alias("value")).filter("value is not null and value <> ''").distinct()
-    pieces = cut(rows.select("source", "row", parse("value").alias("pieces")))
+    pieces = cut(rows.mapInArrow(parse, T.StructType([*rows.schema.fields[:2], T.StructField("pieces", _PIECES)])))
 
     # Shapes of values that no candidate parts; candidates that leave nothing on one side don't part a value.
     filled = F.filter("pieces", lambda p: p["val"] != "")
