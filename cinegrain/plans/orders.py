@@ -46,9 +46,9 @@ def filmography_order(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("person", "title", F.coalesce("year", F.lit(-1)).alias("year"), (F.col("rank") + 1).alias("place"))
 
 
-@REGISTRY.query(f"select person, count(*) as works, count(distinct year) as n_years, cast(min(year) as int) as first_year from {WORKS} group by 1")
+@REGISTRY.query(f"select person, count(*) as works, count(distinct year) as n_years, cast(coalesce(min(year), -1) as int) as first_year from {WORKS} group by 1")
 def filmography_totals(spark: SparkSession, d: str) -> DataFrame:
-    return works(spark, d).groupBy("person").agg(F.count("*").alias("works"), F.count_distinct("year").alias("n_years"), F.min("year").alias("first_year"))
+    return works(spark, d).groupBy("person").agg(F.count("*").alias("works"), F.count_distinct("year").alias("n_years"), F.coalesce(F.min("year"), F.lit(-1)).alias("first_year"))
 
 
 @REGISTRY.query(
@@ -182,7 +182,7 @@ def watchlist_append(spark: SparkSession, d: str) -> DataFrame:
 
 @REGISTRY.query(
     """with cut as (select median(epoch_us(landed_at)) mid from raw_pages), a as (select pageid, max(revid) revid from raw_pages, cut where epoch_us(landed_at) <= cut.mid group by 1), b as (select pageid, max(revid) revid from raw_pages group by 1)
-select b.pageid, b.revid, case when a.pageid is null then 'added' else 'changed' end change from b left join a using (pageid) where a.pageid is null or a.revid is distinct from b.revid"""
+select b.pageid, coalesce(b.revid, -1) as revid, case when a.pageid is null then 'added' else 'changed' end change from b left join a using (pageid) where a.pageid is null or a.revid is distinct from b.revid"""
 )
 def revid_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Two polls of the latest revisions: the first only sets the baseline, the second gives what changed since."""
@@ -191,4 +191,4 @@ def revid_snapshot(spark: SparkSession, d: str) -> DataFrame:
     latest = lambda df: df.groupBy("pageid").agg(F.max("revid").alias("revid"))
     store = StateStore(spark, scratch_path(spark, "revids"))
     baseline_or_changes(store, latest(rows.join(F.broadcast(middle), rows["at"] <= middle["middle"])), "pageid", "revid")
-    return baseline_or_changes(store, latest(rows), "pageid", "revid")
+    return baseline_or_changes(store, latest(rows), "pageid", "revid").withColumn("revid", F.coalesce("revid", F.lit(-1)))
