@@ -1,5 +1,6 @@
 """Problems 2, 3, 5 and 9 against brute force and on edge cases."""
 
+import os
 import random
 from itertools import combinations
 
@@ -9,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinegrain.llm.components import connected_groups
-from cinegrain.llm.matching import FEATURES, Calibration, match_records, nearest_pairs, part_of, result_terms, terms_of, title_terms
+from cinegrain.llm.matching import FEATURES, Calibration, match_records, nearest_pairs, part_of, result_terms, terms_of, title_terms, without_variants
 from cinegrain.llm.mixing import actual_shares, cross_entropy, mix_documents, mixture_plans, plan_mixture
 from cinegrain.llm.names import _distances_to, coded, levenshtein_to, name_parts, radius_pairs, same_person, within_one
+from cinegrain.session import discard, written
 
 
 def find(parent, x):
@@ -194,6 +196,79 @@ def test_pruning_is_exact(spark, monkeypatch, rare):
     assert got.keys() == best.keys() and all(abs(got[k][i] - best[k][i]) < 1e-6 for k in best for i in (0, 1))
 
 
+def nearest_by_all_scores(queries, index, k=4):
+    """{(q, d): (score, dated, self, self_dated)} of the best pairs, by full scores over all pairs and all terms."""
+    from cinegrain.llm.matching import B, K1, WEIGHTS
+
+    n, mean, df = len(index), index["terms"].map(len).mean(), {}
+    for b, terms in zip(index["block"], index["terms"]):
+        for x in terms:
+            df[b, x] = df.get((b, x), 0) + 1
+    best = {}
+    for q in queries.itertuples():
+        own = {x: WEIGHTS[x[0]] * np.log(1 + (n - df[q.block, x] + 0.5) / (df[q.block, x] + 0.5)) for x in q.terms if (q.block, x) in df}
+        dated = {x: w for x, w in own.items() if x[0] in "ymx"}
+        scores = []
+        for d in index[index["block"] == q.block].itertuples():
+            norm = (K1 + 1) / (1 + K1 * (1 - B + B * len(d.terms) / mean))
+            met = own.keys() & set(d.terms)
+            scores.append((sum(own[x] for x in met) * norm, sum(dated[x] for x in met & dated.keys()) * norm, d.id))
+        kth = sorted((s for s, _, _ in scores), reverse=True)[:k][-1:]
+        best |= {(q.id, d): (s, v, sum(own.values()), sum(dated.values())) for s, v, d in scores if s >= np.log(n + 1) and s >= kth[0] - 1e-9}
+    return best
+
+
+@pytest.mark.parametrize("rare", [64, 3])
+def test_slips_between_titles_count(spark, monkeypatch, rare):
+    """Titles that lie close together share variants with several others, whether the index has them or not."""
+    monkeypatch.setattr("cinegrain.llm.matching.RARE", rare)
+    monkeypatch.setattr("cinegrain.llm.matching.PASS_RECORDS", 20)
+    rng = random.Random(8)
+    title = lambda: "".join(rng.choice("abc1") for _ in range(rng.randint(4, 7))) + rng.choice(["", "", " 2", " zug"])
+    date = lambda: rng.choice([None, f"{rng.randint(1990, 2020)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}"])
+    titles = [(i, rng.choice(["movie", "series"]), title(), None, date(), None, "Hindi", [f"{title()} {title()}"], None) for i in range(150)]
+    results = [(1000 + i, title(), None, date(), None, "hi", f"{title()} {title()}") for i in range(60)] + [(2000 + t[0], t[2], None, t[4], None, "hi", t[7][0]) for t in titles[:40]] + [(3000, "", None, None, None, None, None)]
+    index = title_terms(spark.createDataFrame(titles, "pageid long, kind string, title string, wikititle string, releasedate string, year int, language string, directedby array<string>, params map<string,string>"))
+    queries = result_terms(spark.createDataFrame(results, "id long, title string, name string, release_date string, first_air_date string, original_language string, director string"))
+    best = nearest_by_all_scores(queries.toPandas(), index.toPandas())
+    for left, right in ((queries, index), (without_variants(queries), without_variants(index))):
+        got = {(x["q"], x["d"]): (x["score"], x["dated"], x["self"], x["self_dated"]) for x in nearest_pairs(left, right).collect()}
+        assert got.keys() == best.keys() and all(abs(got[p][i] - best[p][i]) < 1e-6 for p in best for i in range(4))
+
+
+def test_pairs_below_the_least_score_are_not_written(spark):
+    """No stage writes more than the terms of the records, however many pairs share a word, and no shuffle file stays."""
+    n, syllables = 3000, [a + b for a in "bdgklmnprst" for b in "aeiou"]
+    word = lambda i: "".join(syllables[(i // 55**k) % 55] for k in range(3))
+    title = lambda i: f"{word(i * 7919 % 166_375)} {word(90_000 + i % 50)} {word(120_000 + i % 51)}"
+    titles = [(i, "movie", title(i), None, None, None, None, None, None) for i in range(n)]
+    results = [(10_000 + i, title(i), None, None, None, None, None) for i in range(n)]
+    index = written(title_terms(spark.createDataFrame(titles, "pageid long, kind string, title string, wikititle string, releasedate string, year int, language string, directedby array<string>, params map<string,string>")), "index")
+    queries = written(result_terms(spark.createDataFrame(results, "id long, title string, name string, release_date string, first_air_date string, original_language string, director string")), "queries")
+    terms = sum(df.agg(F.sum(F.size("terms"))).first()[0] for df in (index, queries))
+    context, store = spark.sparkContext, spark.sparkContext._jsc.sc().statusStore()
+    none = lambda: (context._jvm.java.util.ArrayList(), False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in (lambda x: (x.apply(i) for i in range(x.size())))(store.stageList(*none()))}
+    folders = [f.getPath() for f in context._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {os.path.join(at, f) for folder in folders for at, _, names in os.walk(folder) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+    before, there = set(stages()), files()
+    pairs = nearest_pairs(queries, index)
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    assert {r["q"] for r in pairs.filter("q = d + 10000").collect()} == {10_000 + i for i in range(n)}
+    assert max(r for i, r in stages().items() if i not in before) <= terms
+    assert sum(map(os.path.getsize, files() - there)) < 200_000
+
+
+def test_tables_that_are_read_stay(spark, tmp_path):
+    """Only written tables are deleted, never one of the input."""
+    t, r = works(spark, 12)
+    r.write.parquet(f"{tmp_path}/results.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/results.parquet")
+    assert match_records(result_terms(kept), title_terms(t.limit(0))).count() == 0
+    discard(kept)
+    assert kept.count() == r.count()
+
+
 def test_confidence_needs_no_rule():
     """Labels are days that agree; a model of them tells matches from works of one title, also where days are unknown."""
     rng = np.random.default_rng(3)
