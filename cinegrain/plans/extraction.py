@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +101,23 @@ def order_lines(spark: SparkSession, d: str) -> DataFrame:
     return placed.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("y")), "l_orderkey").join(parts.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
 
 
+def order_texts(spark: SparkSession, d: str, line: Callable[[Column, Column], Column], head: str, tail: str) -> DataFrame:
+    """(l_orderkey, lines, text): the lines of each order that has its order and parts, sorted, and as one page.
+
+    ``line`` writes a line of its fields and its start with the year cell. Lines move twice, to their parts and to their
+    orders; they are placed, counted and written where they are collected.
+    """
+    orders, parts = table(spark, d, "orders"), table(spark, d, "part")
+    fields = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "p_name", "l_returnflag", "y"]
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    lines = lines.join(parts.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    lines = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("y")), "l_orderkey")
+    pages = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("lines"))
+    first = F.concat(F.lit('| rowspan="'), F.size("lines").cast("string"), F.lit('" | '), F.get("lines", F.lit(0))["y"].cast("string"), F.lit(" || "))
+    own = F.transform("lines", lambda x, i: F.concat(F.lit("|-\n"), line(x, F.when(i == 0, first).otherwise("| "))))
+    return pages.select("l_orderkey", "lines", F.concat(F.lit(head), F.array_join(own, "\n"), F.lit(tail)).alias("text"))
+
+
 def _spanned(first: Column) -> Column:
     """The year cell of a row: on the first row, spanning all."""
     return F.when(F.col("pos") == 1, F.concat(F.lit('| rowspan="'), F.col("n").cast("string"), F.lit('" | '), first, F.lit(" || "))).otherwise("| ")
@@ -141,11 +160,10 @@ def tracks_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 @REGISTRY.query(f"select distinct on (l_orderkey, p_name, l_returnflag) l_orderkey, cast(y as varchar) as year, p_name category, case when l_returnflag = 'R' then 'nominated' else 'won' end as result from {LINES} order by l_orderkey, p_name, l_returnflag, pos")
 def awards_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    lines = order_lines(spark, d)
-    mark = F.when(F.col("l_returnflag") == "R", "{{nom}}").otherwise("{{won}}")
-    line = F.concat(F.lit("|-\n"), _spanned(F.col("y").cast("string")), F.lit("[[Grand Prize]] || "), "p_name", F.lit(" || ''Work "), "l_returnflag", F.lit("'' || "), mark)
-    text = written(lines, "l_orderkey", line, "== Awards and nominations ==\n{| class=\"wikitable\"\n! Year !! Award !! Category !! Film !! Result\n", "\n|}")
-    return exploded(text, "l_orderkey", "text", "awards").select("l_orderkey", "year", "category", "result")
+    mark = lambda x: F.when(x["l_returnflag"] == "R", "{{nom}}").otherwise("{{won}}")
+    line = lambda x, start: F.concat(start, F.lit("[[Grand Prize]] || "), x["p_name"], F.lit(" || ''Work "), x["l_returnflag"], F.lit("'' || "), mark(x))
+    pages = order_texts(spark, d, line, "== Awards and nominations ==\n{| class=\"wikitable\"\n! Year !! Award !! Category !! Film !! Result\n", "\n|}")
+    return exploded(pages, "l_orderkey", "text", "awards").select("l_orderkey", "year", "category", "result")
 
 
 def episodes_read(orders: DataFrame) -> DataFrame:

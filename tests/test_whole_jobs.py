@@ -2,11 +2,14 @@
 
 import os
 import re
+import sys
+from datetime import datetime
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cinegrain.markup.udfs import FAMILIES
 from cinegrain.plans.extraction import cast_read
 
 DATA = "/root/testdata/sf0.001"
@@ -51,3 +54,49 @@ def test_persons_have_documents(spark):
     links = duckdb.sql(f"select count(distinct wikititle) from '{DATA}/cast_entries.parquet'").fetchall()[0][0]
     assert rows["id"].is_unique and (~rows["id"].str.startswith("person:")).sum() == titles
     assert rows["id"].str.startswith("person:").sum() >= links
+
+
+def calls(read, text):
+    """Calls of functions, those of C too, that reading a text takes."""
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        read(text)
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+@pytest.mark.parametrize(
+    ("family", "head", "row"),
+    [
+        ("awards", "== Awards ==\n{|\n! Year !! Award !! Category !! Film !! Result\n|-\n| rowspan=100 | 1999 || [[Grand Prize]] || c || ''W'' || {{won}}\n", "|-\n| [[Grand Prize]] || category %(i)d || ''Work %(k)d'' || {{nom}}\n"),
+    ],
+)
+def test_rows_of_tables_are_read_in_few_steps(family, head, row):
+    """Cells that come again aren't read again, and steps without anything to do are left out."""
+    n, read = 400, FAMILIES[family][1]
+    text = head + "".join(row % {"i": i, "k": i % 5} for i in range(n)) + "|}"
+    assert len(read(text)) == n + 1
+    fresh = text.replace("category", "kind").replace("Part", "Number")
+    assert (taken := calls(read, fresh)) < 200 * n, taken / n
+
+
+@pytest.mark.parametrize("name", ["awards_round_trip"])
+def test_lines_are_placed_after_the_joins(spark, tmp_path, name):
+    """As in the SQL, a line without its part or order has no place; and no window is needed to place the others."""
+    lines = [(1, 7, 1, 1, 5.0, "R"), (1, 8, 1, 2, 5.0, "A"), (1, 9, 1, 3, 5.0, "N"), (1, 8, 1, 4, 5.0, "R"), (2, 9, 1, 1, 5.0, "N"), (3, 9, 1, 1, 5.0, "N"), (4, 7, 1, 1, 5.0, "A")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, datetime(1990 + k, 1, 1)) for k in (1, 2, 4, 5)], "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(8, "red bolt"), (9, "old ring"), (10, "x")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "part"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    found = entry.queries()[name](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(entry.oracle_sql()[name]).fetchall())
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
