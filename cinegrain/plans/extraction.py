@@ -135,12 +135,13 @@ def table_grid_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 @REGISTRY.query(f"select l_orderkey, pos, cast(y as varchar) as year, p_name title, 'Part ' || p_partkey wikititle, l_returnflag as role from (select *, row_number() over (partition by l_orderkey, p_partkey order by pos) r from {LINES}) where r = 1")
 def filmography_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    lines = order_lines(spark, d)
-    line = F.concat(F.lit("|-\n"), _spanned(F.col("y").cast("string")), F.lit("''[[Part "), F.col("l_partkey").cast("string"), F.lit("|"), "p_name", F.lit("]]'' || "), "l_returnflag")
-    text = written(lines, "l_orderkey", line, '== Career ==\nprose\n== Filmography ==\n=== Film ===\n{|\n! Year !! Title !! Role\n', "\n|}\n== Legacy ==\n* [[Other]]")
-    found = exploded(text, "l_orderkey", "text", "filmography")
-    at = lines.groupBy("l_orderkey", F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("wikititle")).agg(F.min("pos").cast("bigint").alias("at"))
-    return found.join(at, ["l_orderkey", "wikititle"]).select("l_orderkey", F.col("at").alias("pos"), "year", "title", "wikititle", "role")
+    line = lambda x, start: F.concat(start, F.lit("''[[Part "), x["l_partkey"].cast("string"), F.lit("|"), x["p_name"], F.lit("]]'' || "), x["l_returnflag"])
+    pages = order_texts(spark, d, line, '== Career ==\nprose\n== Filmography ==\n=== Film ===\n{|\n! Year !! Title !! Role\n', "\n|}\n== Legacy ==\n* [[Other]]")
+    # A work stands where its part does first in the order, so the parts go with the page.
+    pages = pages.select(F.struct("l_orderkey", F.transform("lines", lambda x: x["l_partkey"]).alias("parts")).alias("key"), "text")
+    found = exploded(pages, "key", "text", "filmography")
+    pos = F.array_position("key.parts", F.regexp_extract("wikititle", r"^Part (-?\d+)$", 1).try_cast("bigint"))
+    return found.select("key.l_orderkey", pos.alias("pos"), "year", "title", "wikititle", "role").filter("pos > 0")
 
 
 TRACKS = "(select distinct song_id, pageid, number, title, length from song_rows where listing = 'track')"
